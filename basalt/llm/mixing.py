@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, pick, sealed, small
 
 #: Rows over which one running count goes.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1_000
 #: Weights that the sources take in turn, the mix's share of all words, and the most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
@@ -84,7 +84,7 @@ def mix_plan(docs: DataFrame, *, seed: int = 7, **rule) -> DataFrame:
     offset of the source is added, and a document is emitted once for each
     integer crossed. As neighbours have like sizes, the taken words come
     near the target. Running counts go over hashed parts of (source, size class)
-    of some 50,000 rows, whose offsets come from counts combined map-side, so
+    of some 1,000 rows, whose offsets come from counts combined map-side, so
     a hot source is dealt over many tasks. The same input, seed and
     rule give the same result, however it is partitioned.
 
