@@ -221,11 +221,13 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
     placed = scratch.keep(labelled(members.select("bucket", F.col("node").alias("a")), "a"))
     counted = placed.groupBy("bucket", "a_of").agg(F.count("a").alias("n"))
     split = counted.groupBy("bucket").agg(F.count("n").alias("parts"), F.max_by("a_of", F.struct("n", "a_of")).alias("main")).filter("parts > 1")
-    placed = scratch.keep(placed.join(split.select("bucket", "main"), "bucket"))
-    minor = placed.filter("a_of <> main").select("bucket", "a", "a_of")
-    others = placed.select("bucket", F.col("a").alias("b"), F.col("a_of").alias("b_of"), "main")
-    rest = minor.join(others, "bucket").filter("a_of <> b_of AND (b_of = main OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = likely(rest.distinct().join(stars, ["a", "b"], "left_anti")).select("a", "b")
+    placed = placed.join(split.select("bucket", "main"), "bucket").join(about("a"), "a")
+    placed = scratch.keep(placed)
+    minor = placed.filter("a_of <> main").drop("main")
+    others = placed.withColumnsRenamed({c: f"b{c[1:]}" for c in placed.columns if c.startswith("a")})
+    # The estimate is part of the join, so pairs that it rules out are compared but never made.
+    met = minor.join(others, (minor["bucket"] == others["bucket"]) & (F.col("a_of") != F.col("b_of")) & ((F.col("b_of") == F.col("main")) | (F.col("a") < F.col("b"))) & fits)
+    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     found = extended(confirmed(rest))
 
     nodes = full.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "node"), "digest").join(found, "node", "left")
