@@ -94,6 +94,15 @@ def _sketch(batches):
         )
 
 
+def _shingle_rows(batches):
+    words = Words()
+    for batch in batches:
+        found = [shingles(text, words) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+        sizes = [len(x) for x in found]
+        of = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(zero_copy_only=False), sizes), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)), of("doc_id"), of("tie")], ["shingle", "a", "tie"])
+
+
 def _confirm(least: int):
     def run(batches):
         words, last, kept = Words(), None, None
@@ -163,8 +172,10 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
        estimate from the signatures is within 5 standard errors of the limit.
     3. Links are confirmed on full shingle sets: first for each class's most similar leader, then for other leaders in another
        component so far. Then, where a bucket still holds several components, its classes outside the
-       largest of them pair with all of the bucket in other components, so that no candidate link
-       between components stays untried.
+       largest of them are compared with all of the bucket in other components, so that no candidate link
+       between components stays untried. Classes with too many shingles that no other
+       class in such buckets holds can have no link and are left out first; pairs that sizes, those
+       shingles or the estimate rule out are not made.
 
     What can be missed are links that share no band (7e-6 at the limit) or whose estimate is
     off by more (3e-7). Sets are compared by 64-bit fingerprints of shingles.
@@ -221,12 +232,20 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
     placed = scratch.keep(labelled(members.select("bucket", F.col("node").alias("a")), "a"))
     counted = placed.groupBy("bucket", "a_of").agg(F.count("a").alias("n"))
     split = counted.groupBy("bucket").agg(F.count("n").alias("parts"), F.max_by("a_of", F.struct("n", "a_of")).alias("main")).filter("parts > 1")
-    placed = placed.join(split.select("bucket", "main"), "bucket").join(about("a"), "a")
-    placed = scratch.keep(placed)
-    minor = placed.filter("a_of <> main").drop("main")
-    others = placed.withColumnsRenamed({c: f"b{c[1:]}" for c in placed.columns if c.startswith("a")})
-    # The estimate is part of the join, so pairs that it rules out are compared but never made.
-    met = minor.join(others, (minor["bucket"] == others["bucket"]) & (F.col("a_of") != F.col("b_of")) & ((F.col("b_of") == F.col("main")) | (F.col("a") < F.col("b"))) & fits)
+    placed = scratch.keep(placed.join(split.select("bucket", "main"), "bucket"))
+
+    # A link's texts share least / (100 + least) of both sizes, so shingles that one class alone holds rule links out.
+    nodes = placed.select(F.col("a").alias("doc_id")).distinct()
+    held = texts.join(small(scratch.keep(nodes)), "doc_id", "left_semi").withColumn("tie", F.xxhash64("text"))
+    single = held.mapInArrow(_shingle_rows, "shingle long, a long, tie long").groupBy("shingle").agg(F.count("a").alias("holders"), F.min("a").alias("a"), F.min("tie").alias("tie"))
+    single = single.filter("holders = 1").groupBy("a", "tie").agg(F.count("shingle").alias("x")).groupBy("a").agg(F.min("x").alias("a_x"))
+    known = placed.join(about("a"), "a").join(scratch.keep(single), "a", "left").withColumn("a_x", F.coalesce("a_x", F.lit(0)))
+    known = scratch.keep(known.filter(100 * (F.col("a_n") - F.col("a_x")) >= least * F.col("a_n")))
+    minor = known.filter("a_of <> main").drop("main")
+    others = known.withColumnsRenamed({c: f"b{c[1:]}" for c in known.columns if c.startswith("a")})
+    share = (100 + least) * F.least(F.col("a_n") - F.col("a_x"), F.col("b_n") - F.col("b_x")) >= least * (F.col("a_n") + F.col("b_n"))
+    # The conditions are part of the join, so pairs that they rule out are never made.
+    met = minor.join(others, (minor["bucket"] == others["bucket"]) & (F.col("a_of") != F.col("b_of")) & ((F.col("b_of") == F.col("main")) | (F.col("a") < F.col("b"))) & share & fits)
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     found = extended(confirmed(rest))
 
