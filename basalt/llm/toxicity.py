@@ -19,8 +19,8 @@ ORDER, DISCOUNT, UNSEEN = 6, 0.75, 1e-3
 SAMPLE = 20_000
 START, END = "\x02", "\x03"
 EXPRESSION = re.compile(r"[^\W\d_]+")
-#: Scored expressions that a worker remembers; it forgets all when there are more.
-MEMORY = 300_000
+#: Scored expressions, and n-grams, that a worker remembers; it forgets all when there are more.
+MEMORY = 500_000
 
 
 def expressions(text: str | None) -> list[str]:
@@ -34,6 +34,22 @@ def grams(expression: str) -> list[str]:
     return [marked[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(marked))]
 
 
+class Known(dict):
+    """The values of a function, computed when first asked for and remembered."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, key: str) -> float:
+        if len(self) > MEMORY:
+            self.clear()
+        found = self[key] = self.function(key)
+        return found
+
+    def __reduce__(self):
+        return Known, (self.function,)
+
+
 class Models:
     """A toxic and an ordinary model of expressions.
 
@@ -55,7 +71,7 @@ class Models:
             level = set(below)
         self.shared_contexts = self._contexts(self.shared)
         self.slope, self.offset = 4.0, -5.0
-        self.known: dict[str, float] = {}
+        self.of_gram, self.of_expression = Known(self._gram_ratio), Known(self.ratio)
 
     @staticmethod
     def _contexts(counts: dict[str, int]) -> dict[str, tuple[int, int]]:
@@ -79,22 +95,17 @@ class Models:
             return backoff
         return (max(self.counts[label].get(gram, 0) - DISCOUNT, 0.0) + DISCOUNT * seen[1] * backoff) / seen[0]
 
+    def _gram_ratio(self, gram: str) -> float:
+        backoff = self._backoff(gram[1:])
+        return math.log(self._probability(gram, 1, backoff) / self._probability(gram, 0, backoff))
+
     def ratio(self, expression: str) -> float:
         """Toxic minus ordinary log-likelihood of an expression, by its length."""
-        found = self.known.get(expression)
-        if found is None:
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            found = 0.0
-            for gram in grams(expression):
-                backoff = self._backoff(gram[1:])
-                found += math.log(self._probability(gram, 1, backoff) / self._probability(gram, 0, backoff))
-            found = self.known[expression] = found / (len(expression) + 1)
-        return found
+        return sum(map(self.of_gram.__getitem__, grams(expression))) / (len(expression) + 1)
 
     def evidence(self, text: str | None) -> float:
         """The most toxic expression's ratio; 0 without expressions. A long ordinary rest does not hide it."""
-        return max(map(self.ratio, set(expressions(text))), default=0.0)
+        return max(map(self.of_expression.__getitem__, set(expressions(text))), default=0.0)
 
     def score(self, text: str | None) -> float:
         """The calibrated probability of label 1."""
