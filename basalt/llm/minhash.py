@@ -17,6 +17,11 @@ MINIMA = BANDS * ROWS
 BITS = 4
 LANES = 64 // BITS
 WORDS = -(-MINIMA // LANES)
+LANE_ENDS = int("1" * LANES, 2**BITS)
+#: Classes in a block of those that are compared with each other.
+BLOCK = 128
+#: 64-bit words of a set's bitmap.
+MAP_WORDS = 32
 #: Standard errors that an estimate may be below the limit.
 SLACK = 5.0
 #: Fixed odd multipliers; each makes another order of the 64-bit shingle hashes.
@@ -76,10 +81,17 @@ def packed(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(lanes.reshape(WORDS, LANES) << places, axis=1).view(np.int64)
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """A bit for each of MAP_WORDS * 64 parts of the shingle space that holds one of the set's."""
+    bits = np.zeros(MAP_WORDS * 64, np.uint8)
+    bits[(found & np.uint64(MAP_WORDS * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _sketch(batches):
     words = Words()
     for batch in batches:
-        sizes, digests, signatures, buckets = [], [], [], []
+        sizes, digests, signatures, buckets, maps = [], [], [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             found = shingles(text, words)
             sizes.append(len(found))
@@ -87,20 +99,48 @@ def _sketch(batches):
             least = minima(found)
             signatures.append(packed(least))
             buckets.append(bands(least))
+            maps.append(bitmap(found))
         flat = lambda x, n: pa.ListArray.from_arrays(np.arange(0, len(x) * n + 1, n, dtype=np.int32), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), flat(signatures, WORDS), flat(buckets, BANDS)],
-            ["doc_id", "n_shingles", "digest", "signature", "buckets"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), flat(signatures, WORDS), flat(buckets, BANDS), flat(maps, MAP_WORDS)],
+            ["doc_id", "n_shingles", "digest", "signature", "buckets", "map"],
         )
 
 
-def _shingle_rows(batches):
-    words = Words()
-    for batch in batches:
-        found = [shingles(text, words) for text in batch.column("text").cast(pa.binary()).to_pylist()]
-        sizes = [len(x) for x in found]
-        of = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(zero_copy_only=False), sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)), of("doc_id"), of("tie")], ["shingle", "a", "tie"])
+def _members(packed: pa.Array) -> dict[str, np.ndarray]:
+    inner = packed.flatten()
+    wide = {"s": WORDS, "m": MAP_WORDS}
+    one = {name: inner.field(name).to_numpy(zero_copy_only=False) for name in ("node", "of", "n")}
+    return one | {name: inner.field(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, n) for name, n in wide.items()}
+
+
+def _compared(least: int, lowest: float):
+    """Pairs of a block of minor classes with a block of others that nothing rules out; see `near_duplicates`."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.empty((0, 2), np.int64)]
+            for i in range(batch.num_rows):
+                x, y = _members(batch.column("minor").slice(i, 1)), _members(batch.column("others").slice(i, 1))
+                meet = (x["of"][:, None] != y["of"]) & ((y["of"] == batch.column("main")[i].as_py()) | (x["node"][:, None] < y["node"]))
+                meet &= 100 * np.minimum(x["n"][:, None], y["n"]) >= least * np.maximum(x["n"][:, None], y["n"])
+                every = np.argwhere(meet)
+                for k in range(0, len(every), 1 << 15):
+                    p, q = every[k : k + (1 << 15)].T
+                    z = x["s"][p] ^ y["s"][q]
+                    z |= z >> np.uint64(2)
+                    z |= z >> np.uint64(1)
+                    differing = np.bitwise_count(z & np.uint64(LANE_ENDS)).sum(axis=1, dtype=np.int64)
+                    near = (1 - differing / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS) >= lowest
+                    p, q = p[near], q[near]
+                    mine, other = x["m"][p], y["m"][q]
+                    common = np.minimum(x["n"][p] - np.bitwise_count(mine & ~other).sum(axis=1, dtype=np.int64), y["n"][q] - np.bitwise_count(other & ~mine).sum(axis=1, dtype=np.int64))
+                    fit = (100 + least) * common >= least * (x["n"][p] + y["n"][q])
+                    found.append(np.column_stack([x["node"][p[fit]], y["node"][q[fit]]]))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=2**63 - 1)), pa.array(pairs.max(axis=1, initial=-(2**63)))], ["a", "b"])
+
+    return run
 
 
 def _confirm(least: int):
@@ -124,17 +164,21 @@ def _confirm(least: int):
 
 def estimate(a: Column, b: Column) -> Column:
     """Jaccard similarity from two packed signatures: bit counts of the lanes that differ, corrected for chance matches."""
-    ones = int("1" * LANES, 2**BITS)
     differing = F.lit(0)
     for i in range(WORDS):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        differing = differing + F.bit_count(x.bitwiseAND(F.lit(ones)))
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(LANE_ENDS)))
     chance = 2.0**-BITS
     return (1 - differing / MINIMA - chance) / (1 - chance)
 
 
+def only(a: Column, b: Column) -> Column:
+    """Bits that only the first of two bitmaps has; its set has as many shingles at least that the other lacks."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(MAP_WORDS)), F.lit(0))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for each node that is not the least of its component; edges: (a, b).
 
@@ -168,14 +212,13 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
     1. Each whole text gets the fingerprint of its set, 150 minima, of them 30 band buckets
        and a signature of 4 bits each. Documents with equal sets are one class from here on.
     2. Buckets with several classes get a leader; each class pairs with the
-       leaders of its buckets, not with all others in them. Pairs go on if their sizes allow a link and the
-       estimate from the signatures is within 5 standard errors of the limit.
+       leaders of its buckets, not with all others in them. Pairs go on if the
+       estimate from the signatures is within 5 standard errors of the limit, and sizes and bitmaps of the
+       sets, which bound the intersection from above, allow a link.
     3. Links are confirmed on full shingle sets: first for each class's most similar leader, then for other leaders in another
        component so far. Then, where a bucket still holds several components, its classes outside the
        largest of them are compared with all of the bucket in other components, so that no candidate link
-       between components stays untried. Classes with too many shingles that no other
-       class in such buckets holds can have no link and are left out first; pairs that sizes, those
-       shingles or the estimate rule out are not made.
+       between components stays untried; pairs that are ruled out are not made.
 
     What can be missed are links that share no band (7e-6 at the limit) or whose estimate is
     off by more (3e-7). Sets are compared by 64-bit fingerprints of shingles.
@@ -186,9 +229,9 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     texts = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketch = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, signature array<long>, buckets array<long>"))
+    sketch = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, signature array<long>, buckets array<long>, map array<long>"))
     full = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"), F.any_value("buckets").alias("buckets"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"), F.any_value("buckets").alias("buckets"), F.any_value("map").alias("map"))
     classes = scratch.keep(classes)
 
     members = classes.select("node", F.explode("buckets").alias("bucket"))
@@ -196,9 +239,11 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
     members = scratch.keep(members.join(leaders, "bucket"))
 
     deviation = (MINIMA ** -0.5) * ((p := least / 100 + (1 - least / 100) * 2.0**-BITS) * (1 - p)) ** 0.5 / (1 - 2.0**-BITS)
-    about = lambda side: classes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("signature").alias(f"{side}_s"))
+    about = lambda side: classes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("signature").alias(f"{side}_s"), F.col("map").alias(f"{side}_m"))
     like = estimate(F.col("a_s"), F.col("b_s"))
+    most = F.least(F.col("a_n") - only(F.col("a_m"), F.col("b_m")), F.col("b_n") - only(F.col("b_m"), F.col("a_m")))  # of common shingles
     fits = (100 * F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (like >= least / 100 - SLACK * deviation)
+    fits &= (100 + least) * most >= least * (F.col("a_n") + F.col("b_n"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         met = pairs.distinct().join(about("a"), "a").join(about("b"), "b")
@@ -231,22 +276,14 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
 
     placed = scratch.keep(labelled(members.select("bucket", F.col("node").alias("a")), "a"))
     counted = placed.groupBy("bucket", "a_of").agg(F.count("a").alias("n"))
-    split = counted.groupBy("bucket").agg(F.count("n").alias("parts"), F.max_by("a_of", F.struct("n", "a_of")).alias("main")).filter("parts > 1")
-    placed = scratch.keep(placed.join(split.select("bucket", "main"), "bucket"))
-
-    # A link's texts share least / (100 + least) of both sizes, so shingles that one class alone holds rule links out.
-    nodes = placed.select(F.col("a").alias("doc_id")).distinct()
-    held = texts.join(small(scratch.keep(nodes)), "doc_id", "left_semi").withColumn("tie", F.xxhash64("text"))
-    single = held.mapInArrow(_shingle_rows, "shingle long, a long, tie long").groupBy("shingle").agg(F.count("a").alias("holders"), F.min("a").alias("a"), F.min("tie").alias("tie"))
-    single = single.filter("holders = 1").groupBy("a", "tie").agg(F.count("shingle").alias("x")).groupBy("a").agg(F.min("x").alias("a_x"))
-    known = placed.join(about("a"), "a").join(scratch.keep(single), "a", "left").withColumn("a_x", F.coalesce("a_x", F.lit(0)))
-    known = scratch.keep(known.filter(100 * (F.col("a_n") - F.col("a_x")) >= least * F.col("a_n")))
-    minor = known.filter("a_of <> main").drop("main")
-    others = known.withColumnsRenamed({c: f"b{c[1:]}" for c in known.columns if c.startswith("a")})
-    share = (100 + least) * F.least(F.col("a_n") - F.col("a_x"), F.col("b_n") - F.col("b_x")) >= least * (F.col("a_n") + F.col("b_n"))
-    # The conditions are part of the join, so pairs that they rule out are never made.
-    met = minor.join(others, (minor["bucket"] == others["bucket"]) & (F.col("a_of") != F.col("b_of")) & ((F.col("b_of") == F.col("main")) | (F.col("a") < F.col("b"))) & share & fits)
-    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    split = counted.groupBy("bucket").agg(F.count("n").alias("parts"), F.max_by("a_of", F.struct("n", "a_of")).alias("main"), F.sum("n").alias("total")).filter("parts > 1").drop("parts")
+    placed = placed.join(split, "bucket")
+    block = F.pmod(F.xxhash64("a"), F.ceil(F.col("total") / BLOCK)).alias("block")
+    known = scratch.keep(placed.join(about("a"), "a").select("bucket", "main", block, "a_of", F.struct(F.col("a").alias("node"), F.col("a_of").alias("of"), F.col("a_n").alias("n"), F.col("a_s").alias("s"), F.col("a_m").alias("m")).alias("x")))
+    blocks = lambda rows, name: rows.groupBy("bucket", "main", "block").agg(F.collect_list("x").alias(name)).drop("block")  # noqa: E731  at most some BLOCK classes
+    met = blocks(known.filter("a_of <> main"), "minor").join(blocks(known, "others").drop("main"), "bucket")
+    rest = met.select("main", "minor", "others").mapInArrow(_compared(least, least / 100 - SLACK * deviation), "a long, b long")
+    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
     found = extended(confirmed(rest))
 
     nodes = full.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "node"), "digest").join(found, "node", "left")
