@@ -19,8 +19,6 @@ ORDER, DISCOUNT, UNSEEN = 6, 0.75, 1e-3
 SAMPLE = 20_000
 START, END = "\x02", "\x03"
 EXPRESSION = re.compile(r"[^\W\d_]+")
-#: Scored expressions, and n-grams, that a worker remembers; it forgets all when there are more.
-MEMORY = 500_000
 
 
 def expressions(text: str | None) -> list[str]:
@@ -34,20 +32,13 @@ def grams(expression: str) -> list[str]:
     return [marked[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(marked))]
 
 
-class Known(dict):
-    """The values of a function, computed when first asked for and remembered."""
-
-    def __init__(self, function):
-        self.function = function
-
-    def __missing__(self, key: str) -> float:
-        if len(self) > MEMORY:
-            self.clear()
-        found = self[key] = self.function(key)
-        return found
-
-    def __reduce__(self):
-        return Known, (self.function,)
+def _contexts(counts: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """For each context, the count of its n-grams and the number of different ones."""
+    total, kinds = defaultdict(int), defaultdict(int)
+    for gram, n in counts.items():
+        total[gram[:-1]] += n
+        kinds[gram[:-1]] += 1
+    return {h: (n, kinds[h]) for h, n in total.items()}
 
 
 class Models:
@@ -60,52 +51,49 @@ class Models:
     """
 
     def __init__(self, counts: dict[str, tuple[int, int]]):
-        self.counts = [{g: c[y] for g, c in counts.items() if c[y]} for y in (0, 1)]
-        self.contexts = [self._contexts(c) for c in self.counts]
-        self.shared: dict[str, int] = defaultdict(int)
+        own = [{g: c[y] for g, c in counts.items() if c[y]} for y in (0, 1)]
+        contexts = [_contexts(c) for c in own]
+        shared: dict[str, int] = defaultdict(int)
         level = set(counts)
         while level:
             below = [g[1:] for g in level if len(g) > 1]
             for gram in below:
-                self.shared[gram] += 1
+                shared[gram] += 1
             level = set(below)
-        self.shared_contexts = self._contexts(self.shared)
+        shared_contexts = _contexts(shared)
+
+        def backoff(gram: str) -> float:
+            p = UNSEEN
+            for i in range(len(gram) - 1, -1, -1):
+                part = gram[i:]
+                if seen := shared_contexts.get(part[:-1]):
+                    p = (max(shared.get(part, 0) - DISCOUNT, 0.0) + DISCOUNT * seen[1] * p) / seen[0]
+            return p
+
+        def probability(gram: str, label: int, p: float) -> float:
+            seen = contexts[label].get(gram[:-1])
+            return p if not seen else (max(own[label].get(gram, 0) - DISCOUNT, 0.0) + DISCOUNT * seen[1] * p) / seen[0]
+
+        def weight(context: str, label: int) -> float:
+            seen = contexts[label].get(context)
+            return 1.0 if not seen else DISCOUNT * seen[1] / seen[0]
+
+        # All that scoring needs: log ratios of seen n-grams, and of unseen ones by context, where the shared backoff cancels out.
+        self.of_gram = {g: math.log(probability(g, 1, p) / probability(g, 0, p)) for g in counts for p in (backoff(g[1:]),)}
+        self.of_context = {h: math.log(weight(h, 1) / weight(h, 0)) for h in {*contexts[0], *contexts[1]}}
         self.slope, self.offset = 4.0, -5.0
-        self.of_gram, self.of_expression = Known(self._gram_ratio), Known(self.ratio)
-
-    @staticmethod
-    def _contexts(counts: dict[str, int]) -> dict[str, tuple[int, int]]:
-        total, kinds = defaultdict(int), defaultdict(int)
-        for gram, n in counts.items():
-            total[gram[:-1]] += n
-            kinds[gram[:-1]] += 1
-        return {h: (n, kinds[h]) for h, n in total.items()}
-
-    def _backoff(self, gram: str) -> float:
-        p = UNSEEN
-        for i in range(len(gram) - 1, -1, -1):
-            part = gram[i:]
-            if seen := self.shared_contexts.get(part[:-1]):
-                p = (max(self.shared.get(part, 0) - DISCOUNT, 0.0) + DISCOUNT * seen[1] * p) / seen[0]
-        return p
-
-    def _probability(self, gram: str, label: int, backoff: float) -> float:
-        seen = self.contexts[label].get(gram[:-1])
-        if not seen:
-            return backoff
-        return (max(self.counts[label].get(gram, 0) - DISCOUNT, 0.0) + DISCOUNT * seen[1] * backoff) / seen[0]
-
-    def _gram_ratio(self, gram: str) -> float:
-        backoff = self._backoff(gram[1:])
-        return math.log(self._probability(gram, 1, backoff) / self._probability(gram, 0, backoff))
 
     def ratio(self, expression: str) -> float:
         """Toxic minus ordinary log-likelihood of an expression, by its length."""
-        return sum(map(self.of_gram.__getitem__, grams(expression))) / (len(expression) + 1)
+        total, of_gram, of_context = 0.0, self.of_gram, self.of_context
+        for gram in grams(expression):
+            own = of_gram.get(gram)
+            total += of_context.get(gram[:-1], 0.0) if own is None else own
+        return total / (len(expression) + 1)
 
     def evidence(self, text: str | None) -> float:
         """The most toxic expression's ratio; 0 without expressions. A long ordinary rest does not hide it."""
-        return max(map(self.of_expression.__getitem__, set(expressions(text))), default=0.0)
+        return max(map(self.ratio, set(expressions(text))), default=0.0)
 
     def score(self, text: str | None) -> float:
         """The calibrated probability of label 1."""
