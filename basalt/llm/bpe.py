@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import extended, pick, sealed
 
 #: Encoded pre-tokens that a worker remembers; it forgets all when there are more.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 class PerfectHash:
@@ -176,6 +176,7 @@ def _shared(spark, path: str):
 def _digests(raw, pattern: str):
     def run(batches):
         codec = _opened(raw.value, pattern)
+        codec.known.clear()  # of the worker's last task
         for batch in batches:
             ids = codec.encode_batch(batch.column("text").to_pylist())
             said = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
@@ -188,6 +189,7 @@ def _digests(raw, pattern: str):
 def _encoded(raw, pattern: str):
     def run(batches):
         codec = _opened(raw.value, pattern)
+        codec.known.clear()  # of the worker's last task
         for batch in batches:
             yield batch.append_column("_ids", pa.array(codec.encode_batch(batch.column("text").to_pylist()), pa.list_(pa.int32())))
 
@@ -197,6 +199,7 @@ def _encoded(raw, pattern: str):
 def _decoded(raw, pattern: str):
     def run(batches):
         codec = _opened(raw.value, pattern)
+        codec.known.clear()  # of the worker's last task
         for batch in batches:
             texts = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
