@@ -119,12 +119,12 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The values of a file as v, decimal(20, 0)."""
-    return read_keys(spark, path).select((F.col("key").cast("decimal(20, 0)") + F.lit(2**63).cast("decimal(20, 0)")).cast("decimal(20, 0)").alias("v"))
+    return read_keys(spark, path).select((F.col("key").cast("decimal(20, 0)") + F.lit(str(2**63)).cast("decimal(20, 0)")).cast("decimal(20, 0)").alias("v"))
 
 
 def keys(values: DataFrame, column: str = "v") -> DataFrame:
     """The column `key` of values from 0 to 2^64 - 1."""
-    return values.select((F.col(column).cast("decimal(20, 0)") - F.lit(2**63).cast("decimal(20, 0)")).cast("bigint").alias("key"))
+    return values.select((F.col(column).cast("decimal(20, 0)") - F.lit(str(2**63)).cast("decimal(20, 0)")).cast("bigint").alias("key"))
 
 
 def write_keys(table: DataFrame, path: str) -> None:
