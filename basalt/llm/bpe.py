@@ -162,9 +162,10 @@ class Codec:
         return b"".join([token[x] for x in ids])
 
 
-@lru_cache(maxsize=2)
-def _opened(raw: bytes, pattern: str) -> Codec:
-    return Codec(Vocabulary({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}), pattern)
+@lru_cache(maxsize=1)
+def _opened(raw: bytes) -> Vocabulary:
+    """A worker keeps the vocabulary from task to task."""
+    return Vocabulary({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())})
 
 
 def _shared(spark, path: str):
@@ -175,8 +176,7 @@ def _shared(spark, path: str):
 
 def _digests(raw, pattern: str):
     def run(batches):
-        codec = _opened(raw.value, pattern)
-        codec.known.clear()  # of the worker's last task
+        codec = Codec(_opened(raw.value), pattern)
         for batch in batches:
             ids = codec.encode_batch(batch.column("text").to_pylist())
             said = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
@@ -188,8 +188,7 @@ def _digests(raw, pattern: str):
 
 def _encoded(raw, pattern: str):
     def run(batches):
-        codec = _opened(raw.value, pattern)
-        codec.known.clear()  # of the worker's last task
+        codec = Codec(_opened(raw.value), pattern)
         for batch in batches:
             yield batch.append_column("_ids", pa.array(codec.encode_batch(batch.column("text").to_pylist()), pa.list_(pa.int32())))
 
@@ -198,8 +197,7 @@ def _encoded(raw, pattern: str):
 
 def _decoded(raw, pattern: str):
     def run(batches):
-        codec = _opened(raw.value, pattern)
-        codec.known.clear()  # of the worker's last task
+        codec = Codec(_opened(raw.value), pattern)
         for batch in batches:
             texts = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -15,8 +15,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch, where the session does not say: whole texts are in memory by the batch.
+BATCH = 500
+
+
+def _small_batches(df: DataFrame) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":  # Spark's own
+        df.sparkSession.conf.set(name, str(BATCH))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names; found by position, so other columns may have any names."""
+    _small_batches(df)
     names = df.columns
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     return plain.select(*(F.col(f"c{names.index(name)}").alias(new) for new, name in columns.items()))
@@ -24,6 +35,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def sealed(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     """The table with columns c0, c1, ..., those names in order, and the new name of each old one."""
+    _small_batches(df)
     new = [f"c{i}" for i in range(len(df.columns))]
     return df.toDF(*new), new, dict(zip(reversed(df.columns), reversed(new), strict=True))
 

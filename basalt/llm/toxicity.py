@@ -17,6 +17,8 @@ from .common import Scratch, extended, pick, sealed
 ORDER, DISCOUNT, UNSEEN = 6, 0.75, 1e-3
 #: Most labelled rows that the models and the calibration are learnt from.
 SAMPLE = 20_000
+#: Scored expressions that a task remembers; it forgets all when there are more.
+MEMORY = 100_000
 START, END = "\x02", "\x03"
 EXPRESSION = re.compile(r"[^\W\d_]+")
 
@@ -91,13 +93,18 @@ class Models:
             total += of_context.get(gram[:-1], 0.0) if own is None else own
         return total / (len(expression) + 1)
 
-    def evidence(self, text: str | None) -> float:
-        """The most toxic expression's ratio; 0 without expressions. A long ordinary rest does not hide it."""
-        return max(map(self.ratio, set(expressions(text))), default=0.0)
+    def evidence(self, text: str | None, known: dict[str, float]) -> float:
+        """The most toxic expression's ratio; 0 without expressions. A long ordinary rest does not hide it. known: ratios so far."""
+        own = set(expressions(text))
+        if len(known) > MEMORY:
+            known.clear()
+        for new in own.difference(known):
+            known[new] = self.ratio(new)
+        return max(map(known.__getitem__, own), default=0.0)
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, known: dict[str, float]) -> float:
         """The calibrated probability of label 1."""
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.evidence(text) + self.offset))))
+        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.evidence(text, known) + self.offset))))
 
     def calibrate(self, evidence: np.ndarray, labels: np.ndarray) -> None:
         """Fit slope and offset by penalised logistic regression (Newton steps); kept as they are without both labels."""
@@ -160,8 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, held_out:
 
 def _evidence(models):
     def run(batches):
+        known: dict[str, float] = {}
         for batch in batches:
-            found = [models.value.evidence(text) for text in batch.column("text").to_pylist()]
+            found = [models.value.evidence(text, known) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("toxic")], ["evidence", "toxic"])
 
     return run
@@ -169,8 +177,9 @@ def _evidence(models):
 
 def _scored(models):
     def run(batches):
+        known: dict[str, float] = {}
         for batch in batches:
-            scores = [models.value.score(text) for text in batch.column("text").to_pylist()]
+            scores = [models.value.score(text, known) for text in batch.column("text").to_pylist()]
             yield batch.append_column("_score", pa.array(scores, pa.float64()))
 
     return run
