@@ -39,18 +39,20 @@ class Words(dict):
         return found
 
 
-def shingles(text: bytes | None, words: Words) -> np.ndarray:
-    """Sorted 64-bit fingerprints of a text's distinct 2-word shingles (of its only word; none without words)."""
+def shingles(text: bytes | None, words: Words, width: int) -> np.ndarray:
+    """Sorted 64-bit fingerprints of a text's distinct shingles of `width` words (of all its words, if fewer; none without words)."""
     parts = (text or b"").lower().split()
     if not parts:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
-    if len(parts) == 1:
-        return hashes * MIX[2]
-    second = hashes[1:]
-    mixed = (hashes[:-1] * MIX[0]) ^ (((second << np.uint64(31)) | (second >> np.uint64(33))) * MIX[1])
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= MIX[2]
+    width = min(width, len(parts))
+    last = len(parts) - width + 1
+    mixed = hashes[:last] * MIX[0]
+    for i in range(1, width):
+        nth = hashes[i : last + i]
+        mixed = (mixed ^ (((nth << np.uint64(31)) | (nth >> np.uint64(33))) * MIX[1])) * MIX[0]
+        mixed ^= mixed >> np.uint64(32)
+    mixed = (mixed + np.uint64(width)) * MIX[2]
     mixed ^= mixed >> np.uint64(29)
     return np.unique(mixed)
 
@@ -88,23 +90,26 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _sketch(batches):
-    words = Words()
-    for batch in batches:
-        sizes, digests, signatures, buckets, maps = [], [], [], [], []
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            found = shingles(text, words)
-            sizes.append(len(found))
-            digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-            least = minima(found)
-            signatures.append(packed(least))
-            buckets.append(bands(least))
-            maps.append(bitmap(found))
-        flat = lambda x, n: pa.ListArray.from_arrays(np.arange(0, len(x) * n + 1, n, dtype=np.int32), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), flat(signatures, WORDS), flat(buckets, BANDS), flat(maps, MAP_WORDS)],
-            ["doc_id", "n_shingles", "digest", "signature", "buckets", "map"],
-        )
+def _sketch(width: int):
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            sizes, digests, signatures, buckets, maps = [], [], [], [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                found = shingles(text, words, width)
+                sizes.append(len(found))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                least = minima(found)
+                signatures.append(packed(least))
+                buckets.append(bands(least))
+                maps.append(bitmap(found))
+            flat = lambda x, n: pa.ListArray.from_arrays(np.arange(0, len(x) * n + 1, n, dtype=np.int32), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), flat(signatures, WORDS), flat(buckets, BANDS), flat(maps, MAP_WORDS)],
+                ["doc_id", "n_shingles", "digest", "signature", "buckets", "map"],
+            )
+
+    return run
 
 
 def _members(packed: pa.Array) -> dict[str, np.ndarray]:
@@ -143,7 +148,7 @@ def _compared(least: int, lowest: float):
     return run
 
 
-def _confirm(least: int):
+def _confirm(least: int, width: int):
     def run(batches):
         words, last, kept = Words(), None, None
         for batch in batches:
@@ -151,8 +156,8 @@ def _confirm(least: int):
             texts = zip(batch.column("a_text").cast(pa.binary()).to_pylist(), batch.column("b_text").cast(pa.binary()).to_pylist(), strict=True)
             for a, b, (x, y) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), texts, strict=True):
                 if kept is None or last != x:
-                    last, kept = x, shingles(x, words)
-                other = shingles(y, words)
+                    last, kept = x, shingles(x, words, width)
+                other = shingles(y, words, width)
                 common = len(np.intersect1d(kept, other, assume_unique=True))
                 if 100 * common >= least * (len(kept) + len(other) - common):
                     left.append(a)
@@ -201,11 +206,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         edges = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, least: int = 80) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each document row.
 
-    A document's set holds its distinct 2-word shingles (A-Z lower-cased, words parted by ASCII white
-    space; of one word, that; of none, nothing). Documents are linked if 100 * intersection is at least
+    A document's set holds its distinct shingles of `width` words (A-Z lower-cased, words parted by ASCII white
+    space; of fewer words, all of them as one; of none, nothing). Documents are linked if 100 * intersection is at least
     `least` * union; component_id is the smallest doc_id reachable, kept
     whether it is the document's own.
 
@@ -229,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     texts = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketch = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, signature array<long>, buckets array<long>, map array<long>"))
+    sketch = scratch.keep(texts.mapInArrow(_sketch(width), "doc_id long, n_shingles long, digest binary, signature array<long>, buckets array<long>, map array<long>"))
     full = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"), F.any_value("buckets").alias("buckets"), F.any_value("map").alias("map"))
     classes = scratch.keep(classes)
@@ -256,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
         nodes = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         own = scratch.keep(texts.join(nodes, "doc_id", "left_semi"))
         met = pairs.join(own.toDF("b", "b_text"), "b").join(own.toDF("a", "a_text"), "a")
-        return scratch.keep(met.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(least), "a long, b long"))
+        return scratch.keep(met.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(least, width), "a long, b long"))
 
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a"))
     links = confirmed(first)
@@ -292,13 +297,13 @@ def near_duplicates(docs: DataFrame, *, least: int = 80) -> DataFrame:
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def dedup_documents(docs: DataFrame, *, least: int = 80) -> DataFrame:
+def dedup_documents(docs: DataFrame, *, width: int = 5, least: int = 80) -> DataFrame:
     """The documents with one of each component of `near_duplicates`, that of the smallest doc_id; columns as given.
 
     Of rows that share a kept doc_id one stays, that of the least text hash.
     """
     scratch = Scratch(docs.sparkSession)
-    judged = scratch.keep(near_duplicates(docs, least=least).select("doc_id", "kept"))
+    judged = scratch.keep(near_duplicates(docs, width=width, least=least).select("doc_id", "kept"))
     plain, names, new = sealed(docs)
     gone = small(judged.filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
     rows = plain.join(gone, F.col(new["doc_id"]).cast("long") == F.col("gone"), "left_anti")

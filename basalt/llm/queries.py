@@ -20,7 +20,7 @@ def op1_url_filters(spark, sf_dir):
 
 
 def op2_minhash_dedup(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 def op3_quality_rules(spark, sf_dir):

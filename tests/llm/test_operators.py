@@ -59,11 +59,11 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge_urls(pages, urls.rule_table(spark, queries.RULES).limit(0)).collect()} == {"allow"}
 
 
-def components(rows, least=80):
+def components(rows, width, least=80):
     sets = {}
     for i, t, *_ in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {(a, b) for a, b in zip(w, w[1:])} or ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
     label = {i: i for i in sets if i is not None}
     changed = True
     while changed:
@@ -75,19 +75,21 @@ def components(rows, least=80):
     return sets, label
 
 
-def test_minhash_edge_cases(docs, rows, empty):
-    sets, label = components(rows)
-    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+@pytest.mark.parametrize("width", [2, 5])
+def test_minhash_edge_cases(docs, rows, empty, width):
+    sets, label = components(rows, width)
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, width=width).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items() if i is not None} == {i: (len(sets[i]), label[i]) for i in label}
     assert got[None].kept and got[None].component_id is None
-    assert minhash.near_duplicates(twice(docs)).count() == twice(docs).count()
-    kept = minhash.dedup_documents(twice(docs))
+    assert minhash.near_duplicates(twice(docs), width=width).count() == twice(docs).count()
+    kept = minhash.dedup_documents(twice(docs), width=width)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in label if label[i] == i)
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_minhash_chain_of_edits(spark):
+@pytest.mark.parametrize("width", [2, 5])
+def test_minhash_chain_of_edits(spark, width):
     """A large group of edited copies, some too far from all others: the same components as brute force."""
     rnd = random.Random(5)
     base = [f"t{rnd.randrange(5000)}" for _ in range(120)]
@@ -97,8 +99,8 @@ def test_minhash_chain_of_edits(spark):
         for _ in range(rnd.choice([0, 1, 2, 4, 8, 10, 12, 20])):
             words[rnd.randrange(len(words))] = f"e{rnd.randrange(40)}"
         rows.append((i * 7 % 263, " ".join(words)))
-    sets, label = components(rows)
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, label = components(rows, width)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=width).collect()}
     assert got == label
 
 
