@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from .common import extended, pick, sealed
 
-#: Encoded pre-tokens that a worker remembers; it forgets all when there are more.
-MEMORY = 200_000
+#: Encoded pre-tokens of each of the two generations that a worker remembers; the older goes when the younger is full.
+MEMORY = 100_000
 
 
 class PerfectHash:
@@ -140,7 +140,7 @@ class Codec:
     """Encodes and decodes texts with a vocabulary and a pattern of pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.pattern, self.known = vocabulary, regex.compile(pattern), {}
+        self.vocabulary, self.pattern, self.known, self.older = vocabulary, regex.compile(pattern), {}, {}
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text; null counts as empty."""
@@ -148,12 +148,15 @@ class Codec:
         for text in texts:
             pieces = self.pattern.findall(text or "")
             if len(self.known) > MEMORY:
-                self.known.clear()
-            if new := list(set(pieces).difference(self.known)):
-                raw = [p.encode() for p in new]
-                for piece, own, rank in zip(new, raw, self.vocabulary.find(raw), strict=True):
-                    self.known[piece] = (rank,) if rank is not None else tuple(self.vocabulary.merge(own))
-            out.append(list(chain.from_iterable(map(self.known.__getitem__, pieces))))
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            if new := set(pieces).difference(known):
+                known.update((p, older[p]) for p in new if p in older)
+                fresh = [p for p in new if p not in older]
+                raw = [p.encode() for p in fresh]
+                for piece, own, rank in zip(fresh, raw, self.vocabulary.find(raw), strict=True):
+                    known[piece] = (rank,) if rank is not None else tuple(self.vocabulary.merge(own))
+            out.append(list(chain.from_iterable(map(known.__getitem__, pieces))))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -163,9 +166,9 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def _opened(raw: bytes) -> Vocabulary:
-    """A worker keeps the vocabulary from task to task."""
-    return Vocabulary({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())})
+def _opened(raw: bytes, pattern: str) -> Codec:
+    """A worker keeps the vocabulary, and what it remembers, from task to task."""
+    return Codec(Vocabulary({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}), pattern)
 
 
 def _shared(spark, path: str):
@@ -176,7 +179,7 @@ def _shared(spark, path: str):
 
 def _digests(raw, pattern: str):
     def run(batches):
-        codec = Codec(_opened(raw.value), pattern)
+        codec = _opened(raw.value, pattern)
         for batch in batches:
             ids = codec.encode_batch(batch.column("text").to_pylist())
             said = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
@@ -188,7 +191,7 @@ def _digests(raw, pattern: str):
 
 def _encoded(raw, pattern: str):
     def run(batches):
-        codec = Codec(_opened(raw.value), pattern)
+        codec = _opened(raw.value, pattern)
         for batch in batches:
             yield batch.append_column("_ids", pa.array(codec.encode_batch(batch.column("text").to_pylist()), pa.list_(pa.int32())))
 
@@ -197,7 +200,7 @@ def _encoded(raw, pattern: str):
 
 def _decoded(raw, pattern: str):
     def run(batches):
-        codec = Codec(_opened(raw.value), pattern)
+        codec = _opened(raw.value, pattern)
         for batch in batches:
             texts = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
