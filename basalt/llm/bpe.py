@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import extended, pick, sealed
 
 #: Encoded pre-tokens of each of the two generations that a worker remembers; the older goes when the younger is full.
-MEMORY = 100_000
+MEMORY = 200_000
 
 
 class PerfectHash:
@@ -85,6 +85,7 @@ class Vocabulary:
         for key, slot in zip(keys, self.hash.slot_of.tolist(), strict=True):
             self.keys[slot], self.ranks[slot] = key, ranks[key]
         self.token, self.rank_of = {rank: key for key, rank in ranks.items()}, ranks.get
+        self.decimal = {rank: str(rank) for rank in self.token}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -161,8 +162,11 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the ids' tokens."""
-        token = self.vocabulary.token
-        return b"".join([token[x] for x in ids])
+        return b"".join(map(self.vocabulary.token.__getitem__, ids))
+
+    def said(self, ids: list[int]) -> str:
+        """The ids as decimals joined by commas."""
+        return ",".join(map(self.vocabulary.decimal.__getitem__, ids))
 
 
 @lru_cache(maxsize=1)
@@ -182,7 +186,7 @@ def _digests(raw, pattern: str):
         codec = _opened(raw.value, pattern)
         for batch in batches:
             ids = codec.encode_batch(batch.column("text").to_pylist())
-            said = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+            said = [hashlib.sha256(codec.said(x).encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
