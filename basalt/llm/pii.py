@@ -9,13 +9,22 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .common import Scratch, extended, pick, sealed, small
 
 #: Forms of address and the gender that they tell; fixed values.
-FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta")
-MALE = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr")
-EITHER = ("Dr", "Prof")
+FEMALE = (
+    "Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Doña",
+    "Госпожа", "Госпожи", "Госпоже", "Госпожу", "Госпожой", "Г-жа", "Г-жи", "Г-же", "Г-жу", "Г-жой", "Пани", "Κυρία", "Κυρίας", "Κα", "Κας", "Δεσποινίς", "Δις",
+)
+MALE = (
+    "Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr",
+    "Господин", "Господина", "Господину", "Господином", "Господине", "Г-н", "Г-на", "Г-ну", "Г-ном", "Г-не", "Пан", "Κύριος", "Κύριο", "Κυρίου", "Κύριε", "Κος", "Κου", "Κον",
+)
+EITHER = ("Mx", "Dr", "Doctor", "Prof", "Professor", "Товарищ", "Доктор", "Д-р", "Профессор", "Проф", "Δρ", "Καθηγητής", "Καθηγήτρια")
+#: Those that are also written in lower case; English ones are common words then.
+LOWER = {*FEMALE[FEMALE.index("Madame") :], *MALE[MALE.index("Monsieur") :], *EITHER[EITHER.index("Товарищ") :]}
 #: Given names by gender, and syllables of invented family names by script; fixed values.
 GIVEN = {
     "f": ("Anna", "Clara", "Elena", "Emma", "Ida", "Julia", "Laura", "Lena", "Maria", "Nora", "Olivia", "Paula", "Rosa", "Sara", "Sofia", "Vera"),
@@ -26,7 +35,40 @@ SYLLABLES = {
     "CYRILLIC": ("ба", "бе", "бо", "ва", "ве", "га", "да", "де", "за", "ка", "ко", "ла", "ле", "ма", "мо", "на"),
     "GREEK": ("βα", "γα", "δα", "ζα", "θε", "κα", "κο", "λα", "λε", "μα", "μο", "να", "πα", "ρα", "σα", "τα"),
 }
-ADDRESS = "|".join(sorted(map(re.escape, FEMALE + MALE + EITHER), key=len, reverse=True))
+GENDER = {form: g for g, forms in (("f", FEMALE), ("m", MALE), ("x", EITHER)) for f in forms for form in (f, f.upper(), *([f.lower()] if f in LOWER else ()))}
+ADDRESS = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
+#: Small words inside names, which stay; and words that begin sentences: no names unless a capital follows.
+PARTICLE = "de|del|della|der|den|di|da|das|do|dos|du|des|la|las|le|los|van|von|vom|zu|zum|zur|ten|ter|bin|ibn|al|el|af|av|y"
+OPENING = (
+    "The|Then|This|That|There|He|She|It|They|We|You|I|And|But|In|On|At|As|If|When|Who|What|After|For|So|A|An|Der|Die|Das|Dann|Er|Sie|Es|Wir|Ich|Und|Aber|Im|Am|Ein|Eine|Als|Wer|"
+    "Il|Elle|Ils|On|Nous|Je|Le|La|Les|Un|Une|Et|Mais|Puis|Ce|Dans|Él|Ella|El|Los|Las|Una|Y|Pero|En|Es|Он|Она|Они|Мы|Я|И|Но|А|В|На|Это|Αυτός|Αυτή|Ο|Η|Το|Και"
+)
+
+
+def _letters(fits) -> str:
+    """A pattern for one letter that fits, with the marks that combine with it."""
+    return "[" + "".join(c for c in map(chr, range(0x10000)) if c.isalpha() and fits(c)) + "][̀-ͯ]*"
+
+
+def _person_pattern() -> str:
+    capital, plain = _letters(lambda c: c.isupper() or c.istitle()), _letters(lambda c: c.lower() == c.upper())
+    letter, mark, gap = "(?:[^\\W\\d_][̀-ͯ]*)", "['’ʼ‐‑-]", r"(?=\s)[^\S\n]*\n?[^\S\n]*"
+    tail = rf"(?:{mark}{capital}{letter}*)*(?!{letter})"
+    word = rf"(?:(?:[dDlL]['’])?{capital}(?:['’ʼ]{letter}{{2,}}|{letter}+|{mark}{capital}{letter}+){tail})"
+    initial = rf"{capital}(?:\.[‐‑-]?|(?={gap}{capital}))"
+    no = rf"(?!(?:{ADDRESS})(?:\.|{gap}{capital}))(?!(?:{OPENING})(?![^\W_])(?!\.|{gap}{capital}))"
+    step = rf"{no}(?:{word}|{initial})"
+    small = rf"(?:(?:{PARTICLE}){gap})*"
+    title = rf"(?:{ADDRESS})(?:\.(?:{gap})?|{gap})"
+    return rf"(?<![^\W_])(?P<address>(?:{title})+|M\.{gap})(?P<person>{small}{step}(?:(?:{gap}|(?<=[.‐‑-])){small}{step})*|{plain}{letter}*(?:{gap}{plain}{letter}*){{0,2}})"
+
+
+PERSON = re.compile(_person_pattern())
+#: Without a match there is no person.
+ADDRESSED = re.compile(rf"[{''.join(sorted({f[0] for f in GENDER}))}](?<![^\W_].)(?:{'|'.join(sorted({re.escape(f[1:]) for f in GENDER} | {''}, key=len, reverse=True))})[.\s]")
+NAME = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f'’ʼ])*")
+SMALL = frozenset(PARTICLE.split("|"))
+OPENS = frozenset(OPENING.split("|"))
 
 #: Types in order of precedence where matches begin at the same place.
 PATTERNS = {
@@ -39,11 +81,10 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<![\w.])\+\d{8,14}(?!\w)",
-    "person": rf"\b(?P<address>{ADDRESS})(?P<dot>\.?) (?P<person>[^\W\d_a-z][^\W\d_]+(?:[ '-][^\W\d_a-z][^\W\d_]+){{0,2}})",
 }
 FIND = re.compile("|".join(f"(?P<is_{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 #: Without one of these no pattern matches.
-HINT = re.compile(rf"[@\d]|BEGIN|AKIA|ASIA|gh[pos]_|sk-|(?i:pass|pwd|secret|token|key)|\b(?:{ADDRESS})\b")
+HINT = re.compile(rf"[@\d]|BEGIN|AKIA|ASIA|gh[pos]_|sk-|(?i:pass|pwd|secret|token|key)")
 SPAN = "array<struct<start: int, end: int, kind: string, value: string>>"
 
 
@@ -63,19 +104,85 @@ def normal(kind: str, found: str) -> str:
 
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a text, from left to right; a person's kind tells the gender."""
-    if not text or not HINT.search(text):
+    if not text:
         return []
     spans = []
-    for m in FIND.finditer(text):
+    for m in FIND.finditer(text) if HINT.search(text) else ():
         kind = next(k for k in PATTERNS if m.group(f"is_{k}") is not None)
-        group = kind if kind in ("secret", "person") else 0
+        group = kind if kind == "secret" else 0
         if kind == "phone" and sum(c.isdigit() for c in m.group()) < 9:
             continue
-        value = normal(kind, m.group(group))
-        if kind == "person":
-            kind += "_f" if m["address"] in FEMALE else "_m" if m["address"] in MALE else "_x"
-        spans.append((m.start(group), m.end(group), kind, value))
-    return spans
+        spans.append((m.start(group), m.end(group), kind, normal(kind, m.group(group))))
+    return sorted(spans + _persons(text, spans)) if ADDRESSED.search(text) else spans
+
+
+def _persons(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Names after forms of address, then all other mentions of the same names in the text; none inside `spans`."""
+    taken = bytearray(len(text))
+    for start, end, *_ in spans:
+        taken[start:end] = b"\1" * (end - start)
+    named, names, letters = [], set(), set()
+    for m in PERSON.finditer(text):
+        if any(taken[m.start("person") : m.end("person")]):
+            continue
+        told = [GENDER[a] for a in re.findall(ADDRESS, m["address"])] or ["m"]
+        named.append((*m.span("person"), f"person_{next((g for g in told if g != 'x'), 'x')}", m["person"]))
+        taken[m.start("person") : m.end("person")] = b"\1" * len(m["person"])
+        for word in NAME.findall(m["person"]):
+            letters.add(word[0])
+            if len(word) > 1 and word not in SMALL and word not in OPENS:
+                names |= {word, word.upper(), word.title() if word.isupper() else word}
+    if names:
+        some = "|".join(sorted(map(re.escape, names), key=len, reverse=True))
+        some = rf"(?:{some})(?=(?:['’]?[sS])?(?![^\W_]))"
+        first = "".join(map(re.escape, sorted(letters)))
+        for m in re.finditer(rf"(?<![^\W_])(?:[{first}]\.\s?)*{some}(?:[\s‐‑-]{some})*", text):
+            if not any(taken[m.start() : m.end()]):
+                named.append((*m.span(), "person_n", m.group()))
+    return named
+
+
+def named(word: str) -> str:
+    """One form for a name's spellings in capitals, with other apostrophes and by combining marks."""
+    return re.sub(r"(?:(?<=^)|(?<='))\w", lambda m: m.group().upper(), re.sub("[’ʼ]", "'", unicodedata.normalize("NFC", word)).lower())
+
+
+def parts(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Persons split into names, so that each name of a text has one surrogate, alone or with others; other spans as given.
+
+    Kinds are person_f, person_m and person_x for given names by gender, person_n for family names, and
+    initial for single letters; those that stand for a known given name have its kind and value.
+    """
+    split, roles, full = [], {}, []
+    for start, _, kind, value in (s for s in spans if s[2].startswith("person")):
+        words = [(start + m.start(), start + m.end(), named(m.group())) for m in NAME.finditer(value) if m.group() not in SMALL]
+        long = [w for w in words if len(w[2]) > 1]
+        given = []
+        if kind != "person_n" and len(long) > 1 and "LATIN" in unicodedata.name(long[0][2][0], "LATIN"):
+            given = [long[0]]  # and what a hyphen joins to it
+            for w in long[1:]:
+                if w[0] != given[-1][1] + 1 or value[given[-1][1] - start] not in "‐‑-":
+                    break
+                given.append(w)
+            if len(given) == len(long):  # a family name of two
+                given = []
+        for w in given:
+            if roles.get(w[2], "person_x") == "person_x":
+                roles[w[2]] = kind
+        full.append(({w[2] for w in long}, [w[2] for w in given]))
+        split.append((kind, words, {w[2] for w in given}))
+    out = [s for s in spans if not s[2].startswith("person")]
+    for kind, words, given in split:
+        own = {w[2] for w in words if len(w[2]) > 1}
+        for start, end, word in words:
+            if len(word) == 1 and word != word.lower():
+                meant = next((g for others, first in full if own & others for g in first if g[0] == word), None)
+                out.append((start, end, roles[meant], meant) if meant else (start, end, "initial", word))
+            elif word in given and kind in ("person_f", "person_m"):
+                out.append((start, end, kind, word))
+            else:
+                out.append((start, end, roles.get(word, "person_n"), word))
+    return sorted(out)
 
 
 class Stream:
@@ -108,24 +215,32 @@ class Stream:
         return "".join(out)
 
 
-def _person(stream: Stream, kind: str, value: str) -> str:
-    gender = {"f": "f", "m": "m"}.get(kind[-1]) or "fm"[stream.below(2)]
+def _person(stream: Stream, kind: str, value: str, attempt: int) -> str:
+    """A name; a longer one with each few attempts, so that there are always enough."""
     script = next((s for s in SYLLABLES if s in unicodedata.name(value[0], "")), "LATIN")
-    words = re.split(r"([ '-])", value)
-    for i in range(0, len(words), 2):
-        if i == 0 and len(words) > 1 and script == "LATIN":
-            new = GIVEN[gender][stream.below(16)]
-        else:
-            new = "".join(SYLLABLES[script][stream.below(len(SYLLABLES[script]))] for _ in range(3 + (i == len(words) - 1))).capitalize()
-        words[i] = new.upper() if words[i].isupper() and len(words[i]) > 1 else new
-    return "".join(words)
+    invented = lambda n: "".join(SYLLABLES[script][stream.below(len(SYLLABLES[script]))] for _ in range(n))
+    head, mark, _ = value.rpartition("'")
+    if kind == "person_n" or script != "LATIN":
+        return ("".join(chr(ord("A") + stream.below(26)) for _ in head[:1]) + mark if head else "") + invented(4 + attempt // 4).capitalize()
+    gender = kind[-1] if kind[-1] in "fm" else "fm"[stream.below(2)]
+    return GIVEN[gender][stream.below(16)] if not attempt else (invented(2 + attempt // 4) + {"f": "na", "m": "no"}[gender]).capitalize()
+
+
+def _initial(key: bytes, letter: str) -> str:
+    """Another letter of the alphabet, for each letter its own: the next in an order that follows from the key."""
+    low, high = next(((a, z) for a, z in ("AZ", "АЯ", "ΑΩ") if a <= letter <= z), ("A", "Z"))
+    order = [chr(n) for n in range(ord(low), ord(high) + 1) if chr(n).isalpha()]
+    order.sort(key=lambda c: Stream(key, "initial", c).below(2**63))
+    return order[(order.index(letter) + 1) % len(order)] if letter in order else order[Stream(key, "initial", letter).below(len(order))]
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The replacement of an entity's normal form, itself in normal form; another with each attempt."""
     stream = Stream(key, kind, value, str(attempt))
     if kind.startswith("person"):
-        return _person(stream, kind, value)
+        return _person(stream, kind, value, attempt)
+    if kind == "initial":
+        return _initial(key, value)
     if kind == "email":
         name, _, host = value.partition("@")
         *own, top = host.split(".")
@@ -150,7 +265,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
 
 
 def dressed(kind: str, found: str, new: str) -> str:
-    """A surrogate in the form of the spelling that it replaces: separators, and capitals of e-mail addresses."""
+    """A surrogate in the form of the spelling that it replaces: separators, capitals of e-mail addresses and names, initials."""
+    if kind.startswith("person"):
+        return new[0] if len(found) == 1 and found.isupper() else new.upper() if found.isupper() else new
     if kind in ("card", "phone", "ssn", "iban"):
         marks = iter(new)
         return "".join(next(marks) if re.match(r"[0-9A-Za-z+]", c) else c for c in found)
@@ -166,8 +283,8 @@ def _detected(only: bool):
             keep = pa.array([bool(s) == only for s in spans], pa.bool_())
             if only:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-                rows = [[dict(zip(("start", "end", "kind", "value"), s, strict=True)) for s in own] for own in spans]
-                batch = batch.append_column("spans", pa.array(rows, kind))
+                rows = [[dict(zip(("start", "end", "kind", "value"), s, strict=True)) for s in parts(own)] for own in spans]
+                batch = batch.append_column("n_spans", pa.array(map(len, spans), pa.int32())).append_column("spans", pa.array(rows, kind))
             yield batch.filter(keep)
 
     return run
@@ -223,9 +340,11 @@ def replace_private(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with surrogates for personal data in text, and n_entities behind; columns otherwise as given.
 
     Found are e-mail addresses, phone and card numbers, IBANs, social security numbers, IPv4 addresses, access keys,
-    passwords and tokens, private keys, and names after a form of address, which tells the gender. An
-    entity has the same surrogate wherever it stands, in all spellings that differ by separators or (in e-mail) case;
-    two entities never share one. Surrogates keep type, length, separators, case, script and check sums.
+    passwords and tokens, private keys, and names after a form of address, which tells the gender, with all other mentions
+    of these names in the same text. An entity has the same surrogate wherever it stands, in all spellings that differ by
+    separators or (in e-mail) case; two entities never share one. Of persons each name is an entity, so that
+    forms of address, given names and initials may come and go; a given name's surrogate has the gender told, in this text or
+    another. Surrogates keep type, length (but of names), separators, case, script and check sums.
 
     Entities are found in whole texts, distinct ones get their surrogates (`surrogates`), which go
     back by a join on the entity; only documents that hold any are shuffled, the others pass as they are.
@@ -237,12 +356,17 @@ def replace_private(docs: DataFrame, key: bytes) -> DataFrame:
     plain, names, new = sealed(docs)
     rows = plain.withColumnRenamed(new["text"], "text")
     columns = [("text" if c == new["text"] else c) for c in names]
-    found = rows.mapInArrow(_detected(True), extended(rows, "spans", SPAN))
+    found = rows.mapInArrow(_detected(True), extended(rows, "n_spans", "int").add("spans", DataType.fromDDL(SPAN)))
     found = scratch.keep(found.withColumn("row", F.monotonically_increasing_id()))
     spans = found.select("row", F.inline("spans"))
-    drawn = small(surrogates(spans.select("kind", "value").distinct(), key, scratch))
+    # A given name whose gender is told elsewhere only has that.
+    told = spans.filter("kind IN ('person_f', 'person_m')").groupBy("value").agg(F.min("kind").alias("told")).withColumn("kind", F.lit("person_x"))
+    spans = scratch.keep(spans.join(small(told), ["kind", "value"], "left").withColumn("kind", F.coalesce("told", "kind")).drop("told"))
+    entities = spans.select("kind", "value").distinct()
+    initials = entities.filter("kind = 'initial'").withColumn("attempt", F.lit(0)).mapInArrow(_invented(key), "kind string, value string, attempt int, surrogate string")
+    drawn = small(surrogates(entities.filter("kind <> 'initial'"), key, scratch).union(initials.drop("attempt")))
     told = spans.join(drawn, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "surrogate")).alias("found"))
-    held = found.join(told, "row").withColumn("n_entities", F.size("spans")).select(*columns, "n_entities", "found")
+    held = found.join(told, "row").withColumn("n_entities", F.col("n_spans")).select(*columns, "n_entities", "found")
     changed = held.mapInArrow(_replaced, held.drop("found").schema)
     same = rows.mapInArrow(_detected(False), rows.schema).withColumn("n_entities", F.lit(0))
     return changed.union(same).toDF(*docs.columns, "n_entities")

@@ -226,6 +226,26 @@ def test_pii(spark, docs, rows, empty):
     assert pii.private_texts(empty, key).count() == 0
 
 
+def test_pii_names_are_found_whole_and_stay_coherent(spark):
+    cases = {
+        "Mrs. Ada Okoro came. Okoro left, and Okoro's friend Ada. Dr. Okoro and Mrs. OKORO wrote.": "ada okoro",
+        "Mrs. Anna Maria Lopez Garcia sat": "anna maria lopez garcia",
+        "Mr. J. Smith, Mr J. R. R. Tolkien": "smith tolkien",
+        "Mr O'Brien and Mr. O’Hara-Lane, Mrs. Brien's house": "brien hara lane",
+        "Mr.\nSmith; Mr.\u00a0Jones": "smith jones",
+        "Herr Prof. Dr. Meier und Frau von Stein; Señora Maria de la Cruz": "meier stein maria cruz",
+        "госпожа Иванова и г-н Петров. Иванова ушла. Κύριος Παπαδόπουλος": "иванова петров παπαδόπουλος",
+    }
+    out = {r.doc_id: r.text for r in pii.private_texts(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), b"k").collect()}
+    for i, names in enumerate(cases.values()):
+        assert not [n for n in names.split() if n in out[i].lower()], out[i]
+    words = out[0].replace(".", "").replace(",", "").split()
+    given, family = words[1], words[2]
+    assert out[0] == f"Mrs. {given} {family} came. {family} left, and {family}'s friend {given}. Dr. {family} and Mrs. {family.upper()} wrote."
+    assert [v for *_, v in pii.detect("Mr. Smith\nThe next line. Mrs. Lee. Then")] == ["Smith", "Lee"]
+    assert pii.detect("a Sir\n\nThank you, Miss. The end") == []
+
+
 def test_sharding(docs, rows, empty):
     got = sharding.shard_documents(twice(docs), 4).collect()
     text = {r[0]: (r[1] or "").encode() for r in rows}
