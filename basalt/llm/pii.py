@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 
@@ -75,12 +76,17 @@ PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----",
     "email": r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp|gho|ghs)_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9_-]{16,}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?)[\"']?(?P<secret>[^\s\"',;]{6,})",
+    "secret": r"(?i:(?:password|passwd|passphrase|pwd|secret|token|(?:api|access|private|secret|account|auth)[_-]?key)s?\\?[\"']?[^\S\n]*\n?[^\S\n]*(?:=>|:?=|:)[^\S\n]*\n?[^\S\n]*)"
+    r"(?:\\?[\"'](?=[^\"'\n]*[^\W_])(?P<quoted>[^\"'\n\\]{6,})(?=\\?[\"'])|\\?[\"']?(?=[^\s\"',;]*[^\W_])(?P<secret>(?:[^\s\"',;\\]|\\[^\s\"']){6,}))",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<![\w.])\+\d{8,14}(?!\w)",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,35}::|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f])(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)",
+    "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<![\w.])\+\d{8,14}(?!\w)"
+    r"|(?<![\w.+])(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\d(?:[ .-]\d\d){4}|\d{3}(?:[ .-]\d\d){3})(?!\w)"
+    r"|(?<![\w.+])(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\(?\d{1,4}\)?(?:[ ./-]?\d{2,4}){2,5}(?!\w)"
+    r"|(?<![\w.+])(?:(?:0\d|\(0\d\))(?:[ .-]\d\d){4}|[6-9]\d\d(?:[ .-]\d\d){3})(?!\w)|(?<![\w.+])0\d{1,4} ?/ ?\d{3,8}(?:[ -]?\d{2,4})?(?!\w)|(?<![\w.+-])(?:0[1-9]\d{8,10}|[67]\d{8})(?![\w-]|\.\d)",
 }
 FIND = re.compile("|".join(f"(?P<is_{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 #: Without one of these no pattern matches.
@@ -93,10 +99,20 @@ def luhn(digits: str) -> bool:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def _is_ipv6(text: str) -> bool:
+    """Whether it is an address with five hexadecimal digits at least (not ::1)."""
+    try:
+        return ipaddress.IPv6Address(text) is not None and len(text.replace(":", "")) > 4
+    except ValueError:
+        return False
+
+
 def normal(kind: str, found: str) -> str:
     """One form for all spellings of an entity, so that each gets the same surrogate."""
     if kind == "email":
         return found.lower()
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(found))
     if kind in ("card", "phone", "ssn", "iban"):
         return re.sub(r"[^0-9A-Za-z+]", "", found)
     return found
@@ -109,8 +125,10 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     spans = []
     for m in FIND.finditer(text) if HINT.search(text) else ():
         kind = next(k for k in PATTERNS if m.group(f"is_{k}") is not None)
-        group = kind if kind == "secret" else 0
-        if kind == "phone" and sum(c.isdigit() for c in m.group()) < 9:
+        group = 0 if kind != "secret" else kind if m[kind] is not None else "quoted"
+        if kind == "phone" and not 9 <= sum(c.isdigit() for c in m.group()) <= 15:
+            continue
+        if kind == "ipv6" and not _is_ipv6(m.group()):
             continue
         spans.append((m.start(group), m.end(group), kind, normal(kind, m.group(group))))
     return sorted(spans + _persons(text, spans)) if ADDRESSED.search(text) else spans
@@ -248,8 +266,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return f"{stream.like(name)}@{'.'.join([*map(site.like, own), top])}"
     if kind == "ipv4":
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
-    if kind == "phone" and value.startswith("+"):
-        return value[:2] + stream.like(value[2:])
+    if kind == "ipv6":
+        return re.sub("[0-9a-f]+", lambda m: "123456789abcdef"[stream.below(15)] + "".join("0123456789abcdef"[stream.below(16)] for _ in m.group()[1:]), value)
+    if kind == "phone":
+        kept = 2 if value.startswith("+") else 1 if value[0] in "067" else 0
+        return value[:kept] + stream.like(value[kept:])
     if kind == "access_key":
         head = re.match(r"AKIA|ASIA|gh[pos]_|sk-|", value).group()
         return head + stream.like(value[len(head) :])
@@ -271,6 +292,8 @@ def dressed(kind: str, found: str, new: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         marks = iter(new)
         return "".join(next(marks) if re.match(r"[0-9A-Za-z+]", c) else c for c in found)
+    if kind == "ipv6":
+        return new.upper() if found == found.upper() else new
     if kind == "email" and len(new) == len(found):
         return "".join(n.upper() if c.isupper() else n for c, n in zip(found, new, strict=True))
     return new
@@ -339,7 +362,7 @@ def surrogates(entities: DataFrame, key: bytes, scratch: Scratch, attempts: int
 def replace_private(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with surrogates for personal data in text, and n_entities behind; columns otherwise as given.
 
-    Found are e-mail addresses, phone and card numbers, IBANs, social security numbers, IPv4 addresses, access keys,
+    Found are e-mail addresses, phone and card numbers, IBANs, social security numbers, IP addresses, access keys,
     passwords and tokens, private keys, and names after a form of address, which tells the gender, with all other mentions
     of these names in the same text. An entity has the same surrogate wherever it stands, in all spellings that differ by
     separators or (in e-mail) case; two entities never share one. Of persons each name is an entity, so that

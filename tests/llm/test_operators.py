@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import ipaddress
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -226,6 +228,25 @@ def test_pii(spark, docs, rows, empty):
     assert pii.private_texts(empty, key).count() == 0
 
 
+def test_pii_ordinary_forms_of_secrets_and_numbers(spark):
+    secrets = ['{"password": "hunter2222"}', "DB_PASSWORD=hunter2222", "AWS_SECRET_ACCESS_KEY=hunter2222", "auth_token=hunter2222", "password   =  hunter2222", "db-password: 'hunter2222'", "passwd => hunter2222", '\\"api_key\\": \\"hunter2222\\"']
+    phones = ["01 23 45 67 89", "+33 1 23 45 67 89", "612 34 56 78", "+34 612 34 56 78", "0612345678", "01.23.45.67.89", "+34 612 345 678", "030 1234567", "0151/23456789", "+49 (0)30 1234567", "612345678", "0033 1 23 45 67 8"]
+    v6 = ["2001:db8::8a2e:370:7334", "2001:0DB8:0:0:0:8A2E:370:7334", "fe80::1ff:fe23:4567:890a"]
+    for kind, cases in (("secret", secrets), ("phone", phones), ("ipv6", v6)):
+        for case in cases:
+            assert [k for _, _, k, _ in pii.detect(f"so {case} it is")] == [kind], case
+            assert [k for _, _, k, _ in pii.detect(f"{case}.")] == [kind], case
+    out = {r.doc_id: r.text for r in pii.private_texts(spark.createDataFrame(list(enumerate(secrets + phones + v6)), "doc_id long, text string"), b"k").collect()}
+    for i, case in enumerate(secrets + phones + v6):
+        assert out[i] != case and "hunter" not in out[i]
+        assert i >= len(secrets + phones) or re.sub(r"\d", "0", out[i]) == re.sub(r"\d", "0", case) or i < len(secrets)
+    assert out[len(secrets + phones)].lower() == str(ipaddress.IPv6Address(out[len(secrets + phones) + 1].lower()))
+    for phone in ("212-555-3456", "+1 (212) 555-3456", "+33 1 23 45 67 89", "01 23 45 67 89", "612 34 56 78"):
+        assert [(k, e) for _, e, k, _ in pii.detect(f"{phone} 10 people")] == [("phone", len(phone))], phone
+    for plain in ("password: ********", "at 10:20:30 or 1:2", "std::cout a::b ::1", "in 2019 and 2020, 1 234 567", "12 34 56 78", "tokenised = yes", "the key: something"):
+        assert pii.detect(plain) == [], plain
+
+
 def test_pii_names_are_found_whole_and_stay_coherent(spark):
     cases = {
         "Mrs. Ada Okoro came. Okoro left, and Okoro's friend Ada. Dr. Okoro and Mrs. OKORO wrote.": "ada okoro",
