@@ -83,7 +83,7 @@ class Models:
         # All that scoring needs: log ratios of seen n-grams, and of unseen ones by context, where the shared backoff cancels out.
         self.of_gram = {g: math.log(probability(g, 1, p) / probability(g, 0, p)) for g in counts for p in (backoff(g[1:]),)}
         self.of_context = {h: math.log(weight(h, 1) / weight(h, 0)) for h in {*contexts[0], *contexts[1]}}
-        self.slope, self.offset = 4.0, -5.0
+        self.slope, self.offset, self.growth = 4.0, -5.0, 0.0
 
     def ratio(self, expression: str) -> float:
         """Toxic minus ordinary log-likelihood of an expression, by its length."""
@@ -93,23 +93,36 @@ class Models:
             total += of_context.get(gram[:-1], 0.0) if own is None else own
         return total / (len(expression) + 1)
 
-    def evidence(self, text: str | None, known: dict[str, float]) -> float:
-        """The most toxic expression's ratio; 0 without expressions. A long ordinary rest does not hide it. known: ratios so far."""
+    def most(self, text: str | None, known: dict[str, float]) -> tuple[float, int]:
+        """The most toxic expression's ratio (0 without expressions), and of how many distinct ones. known: ratios so far."""
         own = set(expressions(text))
         if len(known) > MEMORY:
             known.clear()
         for new in own.difference(known):
             known[new] = self.ratio(new)
-        return max(map(known.__getitem__, own), default=0.0)
+        return max(map(known.__getitem__, own), default=0.0), len(own)
+
+    def evidence(self, text: str | None, known: dict[str, float]) -> float:
+        """The most toxic expression's ratio, less what the maximum of so many ordinary ones grows by: growth times the log of their number."""
+        most, n = self.most(text, known)
+        return most - self.growth * math.log(max(n, 1))
 
     def score(self, text: str | None, known: dict[str, float]) -> float:
         """The calibrated probability of label 1."""
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.evidence(text, known) + self.offset))))
 
-    def calibrate(self, evidence: np.ndarray, labels: np.ndarray) -> None:
-        """Fit slope and offset by penalised logistic regression (Newton steps); kept as they are without both labels."""
+    def calibrate(self, most: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
+        """Fit growth to the ordinary rows' maxima by least squares, then slope and offset by penalised logistic regression (Newton steps).
+
+        All are kept as they are without both labels, and growth where the ordinary rows are of one size or their maxima fall.
+        """
         if len(set(labels.tolist())) < 2:
             return
+        logs = np.log(np.maximum(sizes, 1))
+        x, y = logs[(labels == 0) & (sizes > 0)], most[(labels == 0) & (sizes > 0)]
+        if len(x) and (spread := x.var()) > 0:
+            self.growth = max(0.0, float(((x - x.mean()) * (y - y.mean())).mean() / spread))
+        evidence = most - self.growth * logs
         x, w = np.column_stack([evidence, np.ones(len(evidence))]), np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
@@ -159,18 +172,18 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, held_out:
     models = Models({r.gram: (r.ordinary, r.toxic) for r in counted.toLocalIterator()})
     check = rows.filter("NOT fits").select("text", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    seen = np.array([tuple(r) for r in check.mapInArrow(_evidence(shared), "evidence double, toxic int").collect()], float).reshape(-1, 2)
-    models.calibrate(seen[:, 0], seen[:, 1])
+    seen = np.array([tuple(r) for r in check.mapInArrow(_most(shared), "most double, size int, toxic int").collect()], float).reshape(-1, 3)
+    models.calibrate(*seen.T)
     scratch.drop(rows)
     return models
 
 
-def _evidence(models):
+def _most(models):
     def run(batches):
         known: dict[str, float] = {}
         for batch in batches:
-            found = [models.value.evidence(text, known) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("toxic")], ["evidence", "toxic"])
+            most, sizes = zip(*(models.value.most(text, known) for text in batch.column("text").to_pylist())) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(most, pa.float64()), pa.array(sizes, pa.int32()), batch.column("toxic")], ["most", "size", "toxic"])
 
     return run
 

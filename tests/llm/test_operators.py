@@ -11,6 +11,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from basalt.llm import bpe, lines, minhash, mixing, pii, quality, queries, search, sharding, toxicity, urls
 
@@ -304,3 +305,19 @@ def test_toxicity(spark, docs, empty):
     assert sum(got[i].predicted == y for i, y in marks if got[i].held_out) >= 0.99 * sum(r.held_out for r in got.values())
     assert toxicity.drop_toxic(table, labels).columns == ["doc_id", "text"]
     assert toxicity.judge(docs, labels).count() == docs.count() and toxicity.judge(empty, labels.limit(0)).count() == 0
+
+
+def test_toxicity_of_clean_documents_does_not_grow_with_length(spark):
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    models, known = toxicity.train(table("documents"), table("labels")), {}
+    held = table("documents").join(table("labels"), "doc_id").filter(toxicity.bucket(F.col("doc_id")) == 2)
+    texts = sorted((len(set(toxicity.expressions(r.text))), r.toxic, r.text) for r in held.select("toxic", "text").collect() if r.toxic is not None and r.text)
+    clean, toxic = [t for _, y, t in texts if not y], [t for _, y, t in texts if y]
+    fifth = len(clean) // 5
+    evidence = [models.evidence(t, known) for t in clean]
+    assert abs(sum(evidence[-fifth:]) - sum(evidence[:fifth])) / fifth < 0.1
+    rnd, caught = random.Random(0), lambda own: models.score(" ".join(own), known) >= 0.3
+    alone = [t for t in clean if not caught([t])]
+    assert len(alone) >= 0.99 * len(clean) and not any(caught(rnd.sample(alone, 100)) for _ in range(100))
+    found = sum(caught([t]) for t in toxic), sum(caught([t, *rnd.sample(clean, 20)]) for t in toxic)
+    assert min(found) >= 0.6 * len(toxic)
