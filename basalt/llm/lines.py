@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, sealed, small
+from .common import Scratch, fits, pick, sealed, small
 
 
 def _key(line: bytes) -> bytes:
@@ -78,16 +78,27 @@ def _digest(least: int):
 
 
 def _with_drops(rows: DataFrame, scratch: Scratch, least: int, documents: int) -> DataFrame:
-    """Add drop, the fingerprints of lines to drop, to rows with doc_id and text."""
+    """Add drop, the fingerprints of lines to drop (null: none), to rows with doc_id and text."""
+    columns = rows.columns
     rows = rows.withColumn("tie", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    lines = rows.select("doc_id", "text", "tie").mapInArrow(_explode(least), f"line binary, owner {kind}, tie long")
-    # Each row gives a fingerprint once, so counts and maxima of them combine map-side, hot lines too.
-    shared = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("owner").alias("holder")).filter(F.col("n") >= documents)
+    lines = scratch.keep(rows.select("doc_id", "text", "tie").mapInArrow(_explode(least), f"line binary, owner {kind}, tie long"))
+    # Documents are told apart before lines are counted. The first grouping spreads a hot line by its owners, the second combines it map-side.
+    held = lines.filter("owner IS NOT NULL").groupBy("line", "owner").agg(F.lit(1).alias("one"))
+    shared = held.groupBy("line").agg(F.count("one").alias("n"), F.max("owner").alias("holder")).filter(F.col("n") >= documents)
     shared = small(scratch.keep(shared.select("line", "holder")))
     dropped = lines.join(shared, "line").filter(~F.col("owner").eqNullSafe(F.col("holder")))
-    dropped = dropped.groupBy("owner", "tie").agg(F.collect_set("line").alias("drop"))  # of the lines of one document
-    return rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["owner"]) & (rows["tie"] == dropped["tie"]), "left").drop("owner", "tie")
+    dropped = scratch.keep(dropped.groupBy("owner", "tie").agg(F.collect_set("line").alias("drop")))  # of the lines of one text
+    same = rows["doc_id"].eqNullSafe(dropped["owner"]) & (rows["tie"] == dropped["tie"])
+    keys = dropped.select("owner", "tie")
+    if not fits(keys):  # too many to tell beforehand which texts need the join
+        return rows.join(dropped.hint("shuffle_hash"), same, "left").select(*columns, "drop")
+    keys = F.broadcast(keys)
+    same_key = rows["doc_id"].eqNullSafe(keys["owner"]) & (rows["tie"] == keys["tie"])
+    whole = rows.join(keys, same_key, "left_anti").select(*columns, F.lit(None).cast("array<binary>").alias("drop"))
+    cut = rows.join(keys, same_key, "left_semi")
+    cut = cut.join(dropped.hint("shuffle_hash"), cut["doc_id"].eqNullSafe(dropped["owner"]) & (cut["tie"] == dropped["tie"]))
+    return whole.union(cut.select(*columns, "drop"))
 
 
 def line_digests(docs: DataFrame, *, least: int = 40, documents: int = 5) -> DataFrame:
@@ -103,19 +114,19 @@ def dedup_lines(docs: DataFrame, *, least: int = 40, documents: int = 5) -> Data
 
     Texts are split at \\n. A line's key is the line without ASCII white space at both ends, A-Z
     lower-cased. Keys of at least `least` code points that at least `documents`
-    rows hold lose all their lines, except in the row of the largest doc_id that holds
+    different doc_ids hold lose all their lines, except in the largest doc_id that holds
     them (all such lines in it stay). What stays is joined by \\n again.
 
-    Distinct keys of a document go by a 128-bit fingerprint; counts
-    and largest ids are combined map-side, so a line that
-    a third of the documents share is one row per task in the shuffle. The fingerprints
-    over the limit are joined back to the documents' own, collected per
-    document, and dropped as the text is split again.
+    Distinct keys of a text go by a 128-bit fingerprint and are written once. They are grouped by key and owner, then by key
+    with counts and largest ids combined map-side, so a line that
+    a third of the documents share is spread over tasks first and a row for each of them then. The fingerprints
+    over the limit are joined back to the texts' own and collected per text. While the keys of texts with any are few
+    enough to broadcast, only these texts are shuffled; beyond that all are, hashed and not sorted.
 
-    A null or empty text is one empty line and stays as it is. Rows are documents: repeated rows
-    count one by one; those that repeat the largest doc_id all keep their lines.
-    A null doc_id is below all others; where only such rows hold a
-    line, all keep it. A document may lose all its lines; its text is then empty.
+    A null or empty text is one empty line and stays as it is. Rows that share a doc_id are one document: it counts once for
+    a line, and if it is the largest that holds it, all its rows keep theirs. Rows without doc_id
+    count for no line and hold none, but lose those over the limit like others. A document may lose all its lines; its text is then empty.
+    An empty table gives none.
     """
     plain, _, new = sealed(docs)
     rows = plain.withColumnsRenamed({new["doc_id"]: "doc_id", new["text"]: "text"})
