@@ -89,16 +89,15 @@ def _with_drops(rows: DataFrame, scratch: Scratch, least: int, documents: int) -
     shared = small(scratch.keep(shared.select("line", "holder")))
     dropped = lines.join(shared, "line").filter(~F.col("owner").eqNullSafe(F.col("holder")))
     dropped = scratch.keep(dropped.groupBy("owner", "tie").agg(F.collect_set("line").alias("drop")))  # of the lines of one text
-    same = rows["doc_id"].eqNullSafe(dropped["owner"]) & (rows["tie"] == dropped["tie"])
-    keys = dropped.select("owner", "tie")
+    def met(part, how):
+        return part.join(dropped.hint("shuffle_hash"), part["doc_id"].eqNullSafe(dropped["owner"]) & (part["tie"] == dropped["tie"]), how).select(*columns, "drop")
+
+    keys = dropped.select(F.xxhash64("owner", "tie").alias("key"))
     if not fits(keys):  # too many to tell beforehand which texts need the join
-        return rows.join(dropped.hint("shuffle_hash"), same, "left").select(*columns, "drop")
-    keys = F.broadcast(keys)
-    same_key = rows["doc_id"].eqNullSafe(keys["owner"]) & (rows["tie"] == keys["tie"])
-    whole = rows.join(keys, same_key, "left_anti").select(*columns, F.lit(None).cast("array<binary>").alias("drop"))
-    cut = rows.join(keys, same_key, "left_semi")
-    cut = cut.join(dropped.hint("shuffle_hash"), cut["doc_id"].eqNullSafe(dropped["owner"]) & (cut["tie"] == dropped["tie"]))
-    return whole.union(cut.select(*columns, "drop"))
+        return met(rows, "left")
+    keys, own = F.broadcast(keys), F.xxhash64("doc_id", "tie") == F.col("key")
+    whole = rows.join(keys, own, "left_anti").select(*columns, F.lit(None).cast("array<binary>").alias("drop"))
+    return whole.union(met(rows.join(keys, own, "left_semi"), "left"))  # a few texts may only share the hash with one
 
 
 def line_digests(docs: DataFrame, *, least: int = 40, documents: int = 5) -> DataFrame:
