@@ -112,22 +112,23 @@ def sort(df: DataFrame, criteria: list[tuple[int | str, bool]]) -> DataFrame:
     return plain(df).orderBy(*order).toDF(*df.columns)
 
 
-def numbered(df: DataFrame, criteria: list[tuple[int | str, bool]], name: str = "pos") -> DataFrame:
-    """`sort` with the place of each row, from 1, as a column.
+def numbered(df: DataFrame, criteria: list[tuple[int | str, bool]], name: str = "pos", *, keep: list[int | str] | None = None) -> DataFrame:
+    """`sort` with the place of each row, from 1, as a column; of the others only those to keep, if told.
 
-    The sorted table is numbered by range: places in each range by a window over it,
-    and the ranges' counts, combined map-side, give their offsets.
+    One shuffle deals the rows into ranges, each is sorted, and rows are counted as they leave the
+    sort: the ids of `monotonically_increasing_id` are range and row in it. They are written with the kept columns, and
+    the ranges' counts, combined map-side, give their offsets.
     """
+    at = range(len(df.columns)) if keep is None else [place(df, ref) for ref in keep]
     order = [F.col(f"c{place(df, ref)}").desc() if desc else F.col(f"c{place(df, ref)}").asc() for ref, desc in criteria]
-    spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = Scratch(spark).keep(plain(df).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))  # ranges are sampled anew by each plan
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = plain(df).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    rows = Scratch(df.sparkSession).keep(ranged.select(*(F.col(f"c{i}").alias(f"o{k}") for k, i in enumerate(at)), F.monotonically_increasing_id().alias("_id")))
+    counts = rows.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    out = ranged.withColumn("_nth", inside).join(F.broadcast(offsets), "_range")  # one row for each range
-    columns = [f"c{i}" for i in range(len(df.columns))]
-    return out.select(*columns, (F.col("_before") + F.col("_nth")).alias("_pos")).toDF(*df.columns, name)
+    out = rows.join(F.broadcast(offsets), F.shiftright("_id", 33) == F.col("_range"))  # one row for each range
+    inside = F.col("_id").bitwiseAND(F.lit(2**33 - 1))
+    return out.select(*(f"o{k}" for k in range(len(at))), (F.col("_before") + inside + 1).alias("_pos")).toDF(*_unique([*(df.columns[i] for i in at), name]))
 
 
 def _aligned(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
