@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,36 +36,37 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id"
     the same host and path, `block`. Where none fits, rule is null and the
     verdict is `default`.
 
-    Each url is expanded into (host suffix, path prefix) expressions, of the
-    (labels, length) shapes that the rules have: at most 128 label counts times
-    the path lengths in use. Expressions meet rules by an equi-join on the
-    first 8 hex digits of SHA-256; the full digest confirms. Rules are
-    broadcast up to a row limit and otherwise shuffled. Rows are grouped by
-    (id, host, path) and map-side combined, so repeated rows or a hot host
+    Each url is expanded into (host suffix, path prefix) expressions by array functions, of the
+    (labels, length) shapes that the rules have: they are one literal map from numbers of labels to path lengths, as
+    long as the rules' shapes are different and not as the rules are many. Expressions meet rules by an equi-join on the
+    first 8 hex digits of SHA-256 alone; of what meets, the full digest confirms a rule. Rules are
+    broadcast up to a size limit and otherwise shuffled. Rows are grouped by
+    (id, host, path) and the partition that they are read in, and combined there, so repeated rows or a hot host
     never meet in one task, and keep their number.
 
     A null url or one without `://` has an empty host and path. A null id is an id
-    like others. Empty tables of pages give no rows, empty rules the default.
+    like others. Rules without host or verdict are none. Empty tables of pages give no rows, empty rules the default.
     """
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict"))
     rules = rules.filter("r_host IS NOT NULL AND r_verdict IS NOT NULL").withColumn("rule", F.concat("r_host", "r_path"))
     rules = rules.groupBy("r_host", "r_path", "rule").agg(F.max("r_verdict").alias("r_verdict"))  # block after allow
     digest = F.sha2("rule", 256)
-    shapes = rules.select(F.size(F.split("r_host", r"\.")).alias("labels"), F.length("r_path").alias("length")).distinct().collect()
+    shapes = rules.groupBy(F.size(F.split("r_host", r"\.")).alias("labels")).agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths")).collect()
+    shapes = F.from_json(F.lit(json.dumps({str(s.labels): s.lengths for s in shapes})), "map<string, array<int>>")
     rules = rules.select(F.substring(digest, 1, PREFIX).alias("prefix"), digest.alias("digest"), F.struct(F.length("rule"), "r_verdict", "rule").alias("found"))
 
     host, path = split_url(F.col("url"))
     rows = pick(pages, page_id=id_column, url=url_column).select("page_id", host.alias("host"), path.alias("path"))
     labels = F.size(F.split("host", r"\."))
-    expressions = [
-        F.when((labels >= s.labels) & (F.length("path") >= s.length), F.concat(F.substring_index("host", ".", -s.labels), F.substring("path", 1, s.length)))
-        for s in sorted(shapes)
-    ]
+    prefixes = lambda n: F.filter(F.coalesce(F.try_element_at(shapes, n.cast("string")), F.array().cast("array<int>")), lambda x: x <= F.length("path"))
+    fitting = lambda n: F.transform(prefixes(n), lambda x: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -n), F.substring("path", 1, x)))
+    expressions = F.flatten(F.transform(F.sequence(F.lit(1), labels), fitting))
     # The null at place 0 stands for the row itself.
-    rows = rows.select("page_id", "host", "path", F.posexplode(F.array(F.lit(None).cast("string"), *expressions)).alias("place", "expression"))
-    rows = rows.filter("place = 0 OR expression IS NOT NULL").withColumn("hash", F.sha2("expression", 256))
-    met = rows.join(small(rules), (F.substring("hash", 1, PREFIX) == F.col("prefix")) & (F.col("hash") == F.col("digest")), "left")
-    best = met.groupBy("page_id", "host", "path").agg(F.max("found").alias("found"), F.sum((F.col("place") == 0).cast("int")).alias("times"))
+    rows = rows.select("page_id", "host", "path", F.spark_partition_id().alias("read_in"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), expressions)).alias("place", "expression"))
+    rows = rows.withColumn("hash", F.sha2("expression", 256))
+    met = rows.join(small(rules), F.substring("hash", 1, PREFIX) == F.col("prefix"), "left")
+    confirmed = F.max(F.when(F.col("hash") == F.col("digest"), F.col("found")))
+    best = met.groupBy("page_id", "host", "path", "read_in").agg(confirmed.alias("found"), F.sum((F.col("place") == 0).cast("int")).alias("times"))
     return best.select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.r_verdict", F.lit(default)).alias("verdict"),
         F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"),
