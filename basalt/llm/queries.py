@@ -94,7 +94,7 @@ ORACLE_SQL = {
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 2 * n_words OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR (n_words > 0 AND 2 * n_dup_lines > n_words)) AS kept
         FROM m""",
     "op4_mixing": f"""
-        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         r AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS whole FROM s),
         o AS (SELECT *, sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS capped,
@@ -103,7 +103,7 @@ ORACLE_SQL = {
         t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE CAST(weight AS DOUBLE) * (whole - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () END AS target FROM f),
         n AS (SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CASE WHEN source_size > 0 THEN CAST(target AS DOUBLE) / source_size ELSE 0 END AS rate,
                      CAST(CAST('0x' || substr(md5('offset7' || coalesce(d.source, '') || CASE WHEN d.source IS NULL THEN 'true' ELSE 'false' END), 1, 8) AS UBIGINT) >> 12 AS DOUBLE) / 1048576 AS draw,
-                     row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 8 + ((size << 4) >> length(bin(size))), key, size) AS nth
+                     row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 8 + ((size << 4) >> length(bin(size))), key) AS nth
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST(floor(nth * rate + draw) - floor((nth - 1) * rate + draw) AS BIGINT) * size AS taken FROM n""",
     "op5_line_dedup": f"""
