@@ -19,8 +19,8 @@ ORDER, DISCOUNT, UNSEEN = 7, 0.9, 1e-3
 SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 #: (characters that an expression's evidence is scaled to, share of toxic expressions in a toxic document): calibration takes the likeliest.
 RULES = [(scale, share) for scale in (4.0, 6.0) for share in (2e-2, 1e-2, 3e-3)]
-#: Expressions that a task remembers, of so many characters at most; it forgets all when there are more.
-MEMORY, LONGEST = 100_000, 64
+#: Expressions that a task remembers in each of two generations, of so many characters at most.
+MEMORY, LONGEST = 150_000, 64
 START, END = "\x02", "\x03"
 EXPRESSION = re.compile(r"[^\W\d_]+")
 
@@ -99,25 +99,27 @@ def term(by_length: float, scale: float, share: float) -> float:
     return math.log1p(share * math.expm1(min(50.0, scale * by_length)))
 
 
-def _ratios(tables, text: str | None, known: dict[str, float]) -> list[float]:
-    """The ratios of a text's distinct expressions. known: those so far."""
-    own = set(expressions(text))
-    if len(known) > MEMORY:
-        known.clear()
+def _of_each(text: str | None, known: list[dict[str, float]], make) -> list[float]:
+    """make(expression) of a text's distinct expressions. known: those so far, of two generations; the older goes when the younger is full."""
+    if len(known[0]) > MEMORY:
+        known[:] = {}, known[0]
+    young, old = known
     out = []
-    for e in own:
-        r = known.get(e)
-        if r is None:
-            r = ratio(tables, e)
+    for e in set(expressions(text)):
+        x = young.get(e)
+        if x is None:
+            x = old.get(e)
+            if x is None:
+                x = make(e)
             if len(e) <= LONGEST:
-                known[e] = r
-        out.append(r)
+                young[e] = x
+        out.append(x)
     return out
 
 
-def evidence(tables, text: str | None, rule: tuple[float, float], known: dict[str, float]) -> float:
+def evidence(tables, text: str | None, rule: tuple[float, float], known: list[dict[str, float]]) -> float:
     """The document's log-likelihood as a toxic one less that as an ordinary one, over its distinct expressions, each normalised by length; 0 without any."""
-    return math.fsum(term(r, *rule) for r in _ratios(tables, text, known))
+    return math.fsum(_of_each(text, known, lambda e: term(ratio(tables, e), *rule)))
 
 
 def probability(found: float, slope: float, offset: float) -> float:
@@ -176,9 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_by
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = pick(docs, doc_id="doc_id", text="text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes // 64))
     rows = rows.join(F.broadcast(marks), "doc_id").select("text", "toxic", F.xxhash64("text").alias("hash"))
-    kept = scratch.keep(rows.dropDuplicates(["text", "toxic"]).orderBy("hash", "toxic").limit(sample))
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy("hash", "toxic"))  # of `sample` rows at most
-    last = kept.select("hash", upto.alias("upto")).filter(F.col("upto") <= sample_bytes).agg(F.max("hash")).first()[0]
+    kept = scratch.keep(rows.dropDuplicates(["text", "toxic"]))
+    first = kept.select("hash", F.octet_length("text").alias("size")).orderBy("hash", "size").limit(sample)
+    upto = F.sum("size").over(Window.orderBy("hash", "size"))  # of `sample` narrow rows at most
+    last = first.select("hash", upto.alias("upto")).filter(F.col("upto") <= sample_bytes).agg(F.max("hash")).first()[0]
     rows = kept.filter(F.col("hash") <= last) if last is not None else kept.limit(0)
     apart = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(5)) == 0
     counted = rows.filter(~apart).select("text", "toxic").mapInArrow(_document_grams, "gram string, toxic int")
@@ -196,9 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_by
 
 def _evidences(shared):
     def run(batches):
-        known: dict[str, float] = {}
+        known, tables = [{}, {}], shared.value
         for batch in batches:
-            ratios = [_ratios(shared.value, text, known) for text in batch.column("text").to_pylist()]
+            ratios = [_of_each(text, known, lambda e: ratio(tables, e)) for text in batch.column("text").to_pylist()]
             found = [[math.fsum(term(r, *rule) for r in own) for rule in RULES] for own in ratios]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("toxic")], ["evidence", "toxic"])
 
@@ -207,9 +210,9 @@ def _evidences(shared):
 
 def _scored(shared, rule: tuple[float, float], slope: float, offset: float):
     def run(batches):
-        known: dict[str, float] = {}
+        known, tables = [{}, {}], shared.value
         for batch in batches:
-            scores = [probability(evidence(shared.value, text, rule, known), slope, offset) for text in batch.column("text").to_pylist()]
+            scores = [probability(evidence(tables, text, rule, known), slope, offset) for text in batch.column("text").to_pylist()]
             yield batch.append_column("_score", pa.array(scores, pa.float64()))
 
     return run
