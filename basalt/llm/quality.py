@@ -15,19 +15,20 @@ SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Deleting these from UTF-8 leaves one byte for each code point outside white space.
 NOT_COUNTED = SPACE + bytes(range(0x80, 0xC0))
 SYMBOLS = b"#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 #: Each rule fails where its expression over the measurements is true; its place in the list is its bit. Rules are only ever added at the end.
 RULES = (
     ("few_words", "n_words < 10"),
     ("repeated_words", "100 * n_repeat_words > 20 * n_words"),
-    ("symbols", "n_symbols > 2 * n_words"),
-    ("word_length", "word_chars < 2 * n_words OR word_chars > 30 * n_words"),
-    ("repeated_lines", "n_words > 0 AND 2 * n_dup_lines > n_words"),
+    ("symbols", "10 * n_symbols > n_words"),
+    ("word_length", "word_chars < 3 * n_words OR word_chars > 9 * n_words"),
+    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
 )
 BASE = ("few_words", "repeated_words")
 #: Versions of policies: the rules that reject a document.
-POLICIES = {1: BASE, 2: (*BASE, "symbols", "word_length", "repeated_lines")}
+POLICIES = {1: BASE, 2: (*BASE, "symbols"), 3: (*BASE, "symbols", "word_length", "repeated_lines")}
+LATEST = max(POLICIES)
 
 
 def mask(rules) -> int:
@@ -64,12 +65,12 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(edge)))
 
 
-def measure(text: bytes | None) -> tuple[int, int, int, int, int]:
+def measure(text: bytes | None) -> tuple[int, ...]:
     """The measurements of a text, in the order of MEASURES."""
     text = text or b""
     words = text.split()
     lines = [line for line in text.split(b"\n") if line.strip()]
-    return len(words), len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines)
 
 
 def _measured(batches):
@@ -84,7 +85,7 @@ def ledger(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "te
 
     Words are runs of anything but ASCII white space, of the whole text. word_chars: code points
     in words; n_symbols: characters of `#*$%&|<>`; n_dup_lines: lines with a word that equal
-    an earlier line; n_repeat_words: words in 5-word windows found twice or more in the text.
+    an earlier line; n_repeat_words: words in 5-word windows found twice or more in the text; n_lines: lines with a word.
     Each text is measured once, on its own; nothing is shuffled. Null and empty texts measure 0
     throughout and fail few_words. Repeated and null ids are rows like others.
     """
@@ -100,12 +101,12 @@ def fails(rules) -> Column:
     return F.col("failures").bitwiseAND(F.lit(mask(rules))) != 0
 
 
-def apply_policy(book: DataFrame, version: int = 2) -> DataFrame:
+def apply_policy(book: DataFrame, version: int = LATEST) -> DataFrame:
     """Add base_failed and kept to a ledger, by a version of the policy."""
     return book.withColumns({"base_failed": fails(BASE), "kept": ~fails(BASE) & ~fails(POLICIES[version])})
 
 
-def ablations(book: DataFrame, version: int = 2) -> DataFrame:
+def ablations(book: DataFrame, version: int = LATEST) -> DataFrame:
     """One row (rule, n_failed, n_alone, n_rejected, n_without) for each rule of the policy.
 
     n_failed: rows that fail the rule; n_alone: that fail only it, of the policy; n_rejected: that the whole
@@ -116,9 +117,9 @@ def ablations(book: DataFrame, version: int = 2) -> DataFrame:
     rules = POLICIES[version]
     bits = F.col("failures").bitwiseAND(F.lit(mask(rules)))
     counts = book.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.union(book.sparkSession.range(1).select(F.lit(0).cast("long"), F.lit(0).cast("long")))  # of an empty ledger too
     names = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(mask([r])).cast("long").alias("bit")) for r in rules)))
-    table = book.sparkSession.range(1).select(names.alias("r")).select("r.*")
-    total = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)).alias
+    total = lambda where: F.sum(F.when(where, F.col("n")).otherwise(0)).alias
     has = F.col("bits").bitwiseAND(F.col("bit")) != 0
     rest = F.col("bits").bitwiseAND(F.bitwise_not("bit")) != 0
-    return table.join(F.broadcast(counts), F.lit(True), "left").groupBy("rule").agg(total(has)("n_failed"), total(has & ~rest)("n_alone"), total(F.col("bits") != 0)("n_rejected"), total(rest)("n_without"))
+    return counts.select("bits", "n", names.alias("r")).select("bits", "n", "r.*").groupBy("rule").agg(total(has)("n_failed"), total(has & ~rest)("n_alone"), total(F.col("bits") != 0)("n_rejected"), total(rest)("n_without"))

@@ -27,7 +27,7 @@ def op2_minhash_dedup(spark, sf_dir):
 
 def op3_quality_rules(spark, sf_dir):
     book = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
-    return book.select("doc_id", *quality.MEASURES, "base_failed", "kept")
+    return book.select("doc_id", *quality.MEASURES[:5], "base_failed", "kept", "n_lines")
 
 
 def op4_mixing(spark, sf_dir):
@@ -85,13 +85,13 @@ ORACLE_SQL = {
         twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM five WHERE gram IS NOT NULL),
         covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE n > 1 GROUP BY doc_id),
         l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
-        d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+        d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) AS n_lines FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
         m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
-                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
               FROM w LEFT JOIN d USING (doc_id) LEFT JOIN covered USING (doc_id))
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
                n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 2 * n_words OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR (n_words > 0 AND 2 * n_dup_lines > n_words)) AS kept
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 9 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept, CAST(n_lines AS BIGINT) AS n_lines
         FROM m""",
     "op4_mixing": f"""
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
