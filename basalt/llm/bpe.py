@@ -14,10 +14,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import extended, pick, sealed
+from .common import extended, free_name, pick, sealed
 
-#: Encoded pre-tokens of each of the two generations that a worker remembers; the older goes when the younger is full.
-MEMORY = 200_000
+#: Encoded pre-tokens of each of the two generations that a worker remembers, of so many characters at most; the older goes when the younger is full.
+MEMORY, LONGEST = 200_000, 64
 
 
 class PerfectHash:
@@ -158,6 +158,9 @@ class Codec:
                 for piece, own, rank in zip(fresh, raw, self.vocabulary.find(raw), strict=True):
                     known[piece] = (rank,) if rank is not None else tuple(self.vocabulary.merge(own))
             out.append(list(chain.from_iterable(map(known.__getitem__, pieces))))
+            if new:
+                for piece in [p for p in new if len(p) > LONGEST]:
+                    del known[piece]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -193,11 +196,13 @@ def _digests(raw, pattern: str):
     return run
 
 
-def _encoded(raw, pattern: str):
+def _encoded(raw, pattern: str, decoded: bool = False):
     def run(batches):
         codec = _opened(raw.value, pattern)
         for batch in batches:
-            yield batch.append_column("_ids", pa.array(codec.encode_batch(batch.column("text").to_pylist()), pa.list_(pa.int32())))
+            ids = codec.encode_batch(batch.column("text").to_pylist())
+            batch = batch.append_column("_ids", pa.array(ids, pa.list_(pa.int32())))
+            yield batch.append_column("_decoded", pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string())) if decoded else batch
 
     return run
 
@@ -217,18 +222,29 @@ def encode(docs: DataFrame, path: str, pattern: str, *, ids: str = "ids") -> Dat
 
     Each match of the pattern is encoded on its own: a perfect hash finds those that are tokens; others start as bytes and are joined pair by pair,
     least rank first. Special tokens are ordinary text. Documents are encoded one by
-    one where they are; nothing is shuffled. Null and empty texts have no ids. A column of the
-    name `ids` that is there already stays, before the new one.
+    one where they are; nothing is shuffled. Null and empty texts have no ids, repeated rows have theirs each. If there is a column
+    `ids` already, the new one is `ids_2`. An empty table gives none.
     """
     plain, names, new = sealed(docs)
     rows = plain.withColumnRenamed(new["text"], "text")
     out = rows.mapInArrow(_encoded(_shared(docs.sparkSession, path), pattern), extended(rows, "_ids", "array<int>"))
-    return out.toDF(*docs.columns, ids)
+    return out.toDF(*docs.columns, free_name(ids, docs.columns))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, *, ids: str = "ids") -> DataFrame:
+    """`encode`, with decoded_sha256 (lowercase hex) of the bytes that each document's ids decode to behind.
+
+    Null texts decode to no bytes, like empty ones. If there is a column of a new name already, the new one ends in _2.
+    """
+    plain, names, new = sealed(docs)
+    rows = plain.withColumnRenamed(new["text"], "text")
+    out = rows.mapInArrow(_encoded(_shared(docs.sparkSession, path), pattern, True), extended(rows, "_ids", "array<int>").add("_decoded", "string"))
+    return out.toDF(*docs.columns, free_name(ids, docs.columns), free_name("decoded_sha256", docs.columns))
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
     """(doc_id, text) of a table with doc_id and ids; null ids give null, bytes that are no UTF-8 are replaced."""
-    rows = pick(encoded, doc_id="doc_id", ids="ids")
+    rows = pick(encoded, doc_id="doc_id", ids=ids)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_decoded(_shared(encoded.sparkSession, path), "."), f"doc_id {kind}, text string")
 
