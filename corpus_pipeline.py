@@ -5,21 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 
 from basalt.llm import bpe, lines, minhash, mixing, toxicity
-from basalt.llm.common import Scratch
+from basalt.llm.common import Scratch, bounded_batches
 
 
 def toxicity_stage(spark, docs, sf_dir):
     """Documents that the toxicity models reject go."""
+    bounded_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup_stage(spark, docs, sf_dir):
     """Lines that many documents share stay in one of them."""
+    bounded_batches(spark)
     return lines.dedup_lines(docs)
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays; sets are of five-word shingles."""
+    bounded_batches(spark)
     return minhash.dedup_documents(docs)
 
 
@@ -29,8 +32,9 @@ def mixing_stage(spark, docs, sf_dir):
 
 
 def encoding_stage(spark, docs, sf_dir):
-    """Byte-level BPE tokens behind the documents' columns."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Byte-level BPE tokens behind the documents' columns, and the digest of the text that they decode to."""
+    bounded_batches(spark)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -45,11 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str):
-    """The stages over documents, each written as Parquet and read again."""
+    """The stages over documents, each written as Parquet and read again; what a stage has read is deleted.
+
+    Nulls, empty texts, repeated rows and extra columns are as the stages' operators say; an empty table stays one.
+    """
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.keep(docs)
+            scratch.drop(*before)
+            before = [docs]
     return docs
