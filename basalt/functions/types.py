@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.types import ByteType, CharType, IntegerType, LongType, ShortTy
 INTEGERS, STRINGS = (LongType, IntegerType, ShortType, ByteType), (StringType, CharType, VarcharType)
 #: The sign bit: exclusive or with it turns unsigned order into signed order.
 SIGN = -(2**63)
+TURNED = RLock()
 
 
 def char16(column: Column | str) -> Column:
@@ -35,20 +37,24 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def kind(df: DataFrame, at: int) -> str:
-    """`int`, `string` or `other`."""
+    """`int`, `string`, or the name of another type."""
     own = df.schema[at].dataType
-    return "int" if isinstance(own, INTEGERS) else "string" if isinstance(own, STRINGS) else "other"
+    return "int" if isinstance(own, INTEGERS) else "string" if isinstance(own, STRINGS) else own.simpleString()
 
 
 @contextmanager
 def wrapping(spark):
-    """Integer +, -, * and SUM of plans that are built inside wrap around at 64 bits; Spark fixes that as it analyses a plan."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    """Integer +, -, * and SUM of plans that are built inside wrap around at 64 bits; Spark fixes that as it analyses a plan.
+
+    The session's mode is turned for as long as that takes, by one thread at a time.
+    """
+    with TURNED:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def unsigned_key(column: Column) -> Column:

@@ -53,7 +53,28 @@ def select_char16(df: DataFrame, ref: int | str, op: str, value: str, *, padded:
     if kind(df, at) != "string":
         raise TypeError(f"column {df.columns[at]} is no string")
     column = F.col(f"c{at}")
-    return _filtered(df, COMPARE[op](char16(column) if padded else column, F.lit(value.ljust(16)[:16] if padded else value)))
+    if not padded:
+        return _filtered(df, COMPARE[op](column, F.lit(value)))
+    fixed = value.ljust(16)[:16]
+    return _filtered(df, _implied(column, op, fixed) & COMPARE[op](char16(column), F.lit(fixed)))
+
+
+def _implied(column: Column, op: str, fixed: str) -> Column:
+    """What must hold of the stored string where the padded one compares so: a filter that a scan can use.
+
+    A padded string that equals the constant starts with the constant's part before its blanks. One that
+    is not above it is not so itself unless it starts with it (longer ones are cut). One that is not below it is not
+    below the constant up to its first character before the blank, since blanks come in where the string ends.
+    """
+    start = fixed.rstrip(" ")
+    if op == "eq":
+        return column.startswith(start)
+    if op in ("lt", "le"):
+        return (column <= F.lit(fixed)) | column.startswith(fixed)
+    if op in ("gt", "ge"):
+        cut = next((i for i, c in enumerate(start) if c < " "), len(start))
+        return column >= F.lit(start[:cut].rstrip(" "))
+    return F.lit(True)
 
 
 def select_attr(df: DataFrame, left: int | str, op: str, right: int | str) -> DataFrame:
@@ -112,23 +133,30 @@ def sort(df: DataFrame, criteria: list[tuple[int | str, bool]]) -> DataFrame:
     return plain(df).orderBy(*order).toDF(*df.columns)
 
 
+def in_order(df: DataFrame, name: str = "pos", *, keep: list[int | str] | None = None) -> DataFrame:
+    """The rows with their places, from 1, in the order of partitions and in them, as a column; of the others only those to keep, if told.
+
+    The ids of `monotonically_increasing_id` are partition and row in it. They are written with the kept columns, and
+    the partitions' counts, combined map-side, give their offsets.
+    """
+    at = range(len(df.columns)) if keep is None else [place(df, ref) for ref in keep]
+    rows = Scratch(df.sparkSession).keep(plain(df).select(*(F.col(f"c{i}").alias(f"o{k}") for k, i in enumerate(at)), F.monotonically_increasing_id().alias("_id")))
+    counts = rows.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(offsets), F.shiftright("_id", 33) == F.col("_part"))  # one row for each partition
+    inside = F.col("_id").bitwiseAND(F.lit(2**33 - 1))
+    return out.select(*(f"o{k}" for k in range(len(at))), (F.col("_before") + inside + 1).alias("_pos")).toDF(*_unique([*(df.columns[i] for i in at), name]))
+
+
 def numbered(df: DataFrame, criteria: list[tuple[int | str, bool]], name: str = "pos", *, keep: list[int | str] | None = None) -> DataFrame:
     """`sort` with the place of each row, from 1, as a column; of the others only those to keep, if told.
 
-    One shuffle deals the rows into ranges, each is sorted, and rows are counted as they leave the
-    sort: the ids of `monotonically_increasing_id` are range and row in it. They are written with the kept columns, and
-    the ranges' counts, combined map-side, give their offsets.
+    One shuffle deals the rows into ranges, each is sorted, and they are numbered as they leave the sort (`in_order`).
     """
-    at = range(len(df.columns)) if keep is None else [place(df, ref) for ref in keep]
     order = [F.col(f"c{place(df, ref)}").desc() if desc else F.col(f"c{place(df, ref)}").asc() for ref, desc in criteria]
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = plain(df).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    rows = Scratch(df.sparkSession).keep(ranged.select(*(F.col(f"c{i}").alias(f"o{k}") for k, i in enumerate(at)), F.monotonically_increasing_id().alias("_id")))
-    counts = rows.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = rows.join(F.broadcast(offsets), F.shiftright("_id", 33) == F.col("_range"))  # one row for each range
-    inside = F.col("_id").bitwiseAND(F.lit(2**33 - 1))
-    return out.select(*(f"o{k}" for k in range(len(at))), (F.col("_before") + inside + 1).alias("_pos")).toDF(*_unique([*(df.columns[i] for i in at), name]))
+    ranged = plain(df).repartitionByRange(ranges, *order).sortWithinPartitions(*order).toDF(*df.columns)
+    return in_order(ranged, name, keep=keep)
 
 
 def _aligned(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources import u64
 
+#: Most ranges that a small memory leads to.
+RANGES = 10_000
+
 
 def generate(spark: SparkSession, count: int, random: bool = False, seed: int = 0) -> DataFrame:
     """Keys of count, ..., 1, or of count random values of the full range."""
@@ -15,15 +18,16 @@ def generate(spark: SparkSession, count: int, random: bool = False, seed: int =
     return u64.keys(spark.range(count).select((F.lit(count) - F.col("id")).alias("v")))
 
 
-def external_sort(spark: SparkSession, source: str, target: str, partition_mb: int | None = None) -> None:
+def external_sort(spark: SparkSession, source: str, target: str, memory: int | None = None) -> None:
     """Write the values of a file in ascending order, duplicates kept, as part files in order.
 
     Spark samples ranges, shuffles by them and sorts each, spilling what memory does not
-    hold. partition_mb sets how large a range is to be; it changes no result. No values give an empty target.
+    hold. memory, in bytes, is how large a range is to be (with RANGES at most); it changes no result. No values give an empty target.
     """
     table = u64.read_keys(spark, source)
-    if partition_mb:
-        table = table.repartitionByRange(max(1, -(-table.count() * 8 // (partition_mb << 20))), "key").sortWithinPartitions("key")
+    if memory:
+        ranges = max(1, min(RANGES, -(-table.count() * 8 // memory)))
+        table = table.repartitionByRange(ranges, "key").sortWithinPartitions("key")
     else:
         table = table.orderBy("key")
     u64.write_keys(table, target)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import F64, I64, Arg, Cast, Const, with_expressions
 from ..functions.types import char16, segment_id, segment_page_id, unsigned_key
-from ..operators import index, relational as r
+from ..operators import index, relational as r, sorting
+from ..operators.scratch import Scratch
+from ..sources import u64
 
 QUERIES, ORACLE = {}, {}
 SIGNS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
@@ -27,9 +29,9 @@ def query(sql: str, name: str | None = None):
     return add
 
 
-@query("""SELECT c_name FROM (SELECT c_custkey, c_name, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey > 250 GROUP BY c_custkey, c_name ORDER BY n DESC, c_custkey)""")
+@query("""SELECT c_name FROM (SELECT c_custkey, c_name, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey > 25 GROUP BY c_custkey, c_name ORDER BY n DESC, c_custkey)""")
 def flagship_top_customers(spark, sf_dir):
-    customers = r.project(r.select_i64(table(spark, sf_dir, "customer"), "c_custkey", "gt", 250), ["c_custkey", "c_name"])
+    customers = r.project(r.select_i64(table(spark, sf_dir, "customer"), "c_custkey", "gt", 25), ["c_custkey", "c_name"])
     joined = r.hash_join(customers, r.project(table(spark, sf_dir, "orders"), ["o_custkey"]), 0, 0)
     grouped = r.hash_aggregate(joined, [0, 1], [("count", 0)])
     return r.project(r.sort(grouped, [(2, True), (0, False)]), [1])
@@ -66,7 +68,7 @@ SORTED = "l_suppkey DESC, l_partkey, l_orderkey, l_linenumber, l_quantity, l_ext
 @query(f"SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, row_number() OVER (ORDER BY {SORTED}) AS pos FROM lineitem")
 def sort_multi_key(spark, sf_dir):
     order = [(c.split()[0], c.endswith("DESC")) for c in SORTED.split(", ")]
-    return r.project(r.numbered(table(spark, sf_dir, "lineitem"), order), ["l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "pos"])
+    return r.numbered(table(spark, sf_dir, "lineitem"), order, keep=["l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"])
 
 
 @query("SELECT c_custkey, c_name, o_orderkey, o_custkey FROM customer JOIN orders ON c_custkey = o_custkey")
@@ -107,11 +109,19 @@ def agg_having(spark, sf_dir):
 
 
 def _set_operations():
+    def one(spark, sf_dir):
+        right = r.select_i64(r.project(table(spark, sf_dir, "supplier"), ["s_nationkey"]), 0, "lt", 12)
+        return r.project(table(spark, sf_dir, "customer"), ["c_nationkey"]).toDF("nationkey"), right
+
+    def two(spark, sf_dir):
+        rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"), char16("c_mktsegment").alias("segment"))
+        return rows.filter("c_custkey % 3 <> 0").drop("c_custkey"), rows.filter("c_custkey % 3 = 0").drop("c_custkey")
+
+    pair = "SELECT CAST(c_nationkey AS BIGINT) AS nationkey, rpad(c_mktsegment, 16, ' ') AS segment FROM customer WHERE c_custkey % 3"
     for name, words in (("union", "UNION"), ("union_all", "UNION ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
         operation = getattr(r, name if name != "except" else "except_")
-        query(f"SELECT CAST(c_nationkey AS BIGINT) AS nationkey FROM customer {words} SELECT CAST(s_nationkey AS BIGINT) FROM supplier", name)(
-            lambda spark, sf_dir, f=operation: f(r.project(table(spark, sf_dir, "customer"), ["c_nationkey"]), r.project(table(spark, sf_dir, "supplier"), ["s_nationkey"])).toDF("nationkey")
-        )
+        query(f"SELECT CAST(c_nationkey AS BIGINT) AS nationkey FROM customer {words} SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_nationkey < 12", name)(lambda spark, sf_dir, f=operation: f(*one(spark, sf_dir)))
+        query(f"{pair} <> 0 {words} {pair} = 0", f"{name}_two_columns")(lambda spark, sf_dir, f=operation: f(*two(spark, sf_dir)))
 
 
 _set_operations()
@@ -155,6 +165,16 @@ def external_sort_positions(spark, sf_dir):
     return r.numbered(values.withColumn("key", unsigned_key(F.col("value"))), [("key", False)]).select("o_orderkey", F.col("pos").cast("bigint").alias("pos"))
 
 
+@query(f"SELECT CAST({MIXED} AS VARCHAR) AS v, CAST(row_number() OVER (ORDER BY {MIXED}) AS BIGINT) AS pos FROM orders")
+def external_sort_file(spark, sf_dir):
+    """Values to a u64le file, that file sorted into another, and this one as it stands."""
+    files = Scratch(spark)
+    values = with_expressions(r.project(table(spark, sf_dir, "orders"), ["o_orderkey"]), value=Arg("o_orderkey") * Const(SPREAD))
+    u64.write_keys(values.select(unsigned_key(F.col("value")).alias("key")), source := files.folder())
+    sorting.external_sort(spark, source, target := files.folder(), 1 << 20)
+    return u64.read_positions(spark, target).select(F.col("v").cast("string").alias("v"), "pos")
+
+
 @query("SELECT o_orderkey, (o_custkey * 281474976710656 + o_orderkey) >> 48 AS segment, (o_custkey * 281474976710656 + o_orderkey) & 281474976710655 AS page FROM (SELECT o_orderkey, o_custkey % 32768 AS o_custkey FROM orders)")
 def segment_page_split(spark, sf_dir):
     page = F.shiftleft(F.col("o_custkey") % 32768, 48) + F.col("o_orderkey")
@@ -195,6 +215,21 @@ def index_lower_bound(spark, sf_dir):
     return index.lower_bound(_base(spark, sf_dir), 43)
 
 
+def _lower_bounds():
+    for name, key in (("absent", 43), ("below_first", -5), ("past_last", 10**12)):
+        query(f"SELECT 2 * o_orderkey AS k, o_custkey AS v, 2 * o_orderkey = {key} AS found FROM orders WHERE 2 * o_orderkey >= {key} ORDER BY 1 LIMIT 1", f"index_lower_bound_{name}")(
+            lambda spark, sf_dir, key=key: index.lower_bound(_base(spark, sf_dir).withColumn("k", 2 * F.col("k")), key)
+        )
+
+
+_lower_bounds()
+
+
+@query("SELECT o_orderkey AS k, o_custkey AS v, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS pos FROM orders")
+def index_items(spark, sf_dir):
+    return index.items(_base(spark, sf_dir))
+
+
 @query(f"WITH last AS (SELECT k, arg_max(v, seq) AS v FROM {LOG} WHERE op = 'insert' GROUP BY k) SELECT k, coalesce(last.v, b.v) AS v FROM {BASE} b FULL JOIN last USING (k)")
 def index_upsert(spark, sf_dir):
     return index.upsert(_base(spark, sf_dir), _log(spark, sf_dir).filter("op = 'insert'").drop("op"))
