@@ -284,10 +284,9 @@ def _linked(texts: DataFrame, sketch: DataFrame, width: int, least: int, scratch
         """The pairs that are links. Followers of a class are dealt into groups, each of which gets its text once."""
         many = small(scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("b") / FOLLOWERS).alias("groups"))))
         dealt = scratch.keep(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group")))
-        firsts = small(scratch.keep(dealt.select("a", "group").distinct()))
-        first = texts.join(firsts, texts["doc_id"] == firsts["a"]).select("a", "group", F.lit(None).cast("long").alias("b"), "text")
-        followers = small(dealt)
-        rows = first.union(texts.join(followers, texts["doc_id"] == followers["b"]).select("a", "group", "b", "text"))
+        firsts = dealt.select("a", "group").distinct().select("a", "group", F.lit(None).cast("long").alias("b"), F.col("a").alias("of"))
+        wanted = small(scratch.keep(firsts.union(dealt.select("a", "group", "b", F.col("b").alias("of")))))
+        rows = texts.join(wanted, texts["doc_id"] == wanted["of"]).select("a", "group", "b", "text")
         rows = rows.repartition("a", "group").sortWithinPartitions("a", "group", F.col("b").asc_nulls_first())
         return scratch.keep(rows.select("a", "b", "text").mapInArrow(_confirm(least, width), "a long, b long"))
 
