@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import lru_cache
+import sys
+import types
 from itertools import chain
 
 import numpy as np
@@ -172,10 +173,13 @@ class Codec:
         return ",".join(map(self.vocabulary.decimal.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
 def _opened(raw: bytes, pattern: str) -> Codec:
-    """A worker keeps the vocabulary, and what it remembers, from task to task."""
-    return Codec(Vocabulary({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}), pattern)
+    """A worker keeps the vocabulary, and what it remembers, from task to task: in a module made for it, as all that comes with a task goes with it."""
+    held = sys.modules.setdefault("_held_codec", types.ModuleType("_held_codec"))
+    key = hashlib.sha256(raw).digest(), pattern
+    if getattr(held, "key", None) != key:
+        held.key, held.codec = key, Codec(Vocabulary({base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines())}), pattern)
+    return held.codec
 
 
 def _shared(spark, path: str):
