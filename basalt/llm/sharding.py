@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, small
+from .common import Scratch, pick
 
 #: Rows that one prefix sum runs over, and the most ranges that there are.
 RANGE_ROWS, MOST_RANGES = 50_000, 10_000
@@ -52,7 +52,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, *, id_column: str = "doc_
         "doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("rows_in")).alias("place"),
         F.expr(f"int(cast(2 * (bytes_before + bytes_in) + size as decimal(20, 0)) * {shards} div (2 * total))").alias("shard"),
     )
-    starts = placed.groupBy("shard").agg(F.min("place").alias("start"))
-    return placed.join(small(starts), "shard").select(
+    starts = placed.groupBy("shard").agg(F.min("place").alias("start"))  # a row for each shard
+    return placed.join(F.broadcast(starts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
