@@ -104,6 +104,7 @@ PATTERNS = {
     r"|(?<![\w.+])(?:(?:0\d|\(0\d\))(?:[ .-]\d\d){4}|[6-9]\d\d(?:[ .-]\d\d){3})(?!\w)|(?<![\w.+])0\d{1,4} ?/ ?\d{3,8}(?:[ -]?\d{2,4})?(?!\w)|(?<![\w.+-])(?:0[1-9]\d{8,10}|[67]\d{8})(?![\w-]|\.\d)",
 }
 FIND = re.compile("|".join(f"(?P<is_{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+PHONE = re.compile(PATTERNS["phone"])
 #: Without one of these no pattern matches.
 HINT = re.compile(rf"[@\d]|BEGIN|AKIA|ASIA|gh[pos]_|sk-|(?i:pass|pwd|secret|token|key)")
 SPAN = "array<struct<start: int, end: int, kind: string, value: string>>"
@@ -119,6 +120,12 @@ def luhn(digits: str) -> bool:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def _is_card(text: str) -> bool:
+    """Whether it has the check sum and the first digit of a payment card's number."""
+    digits = normal("card", text)
+    return digits[0] in "23456" and luhn(digits)
+
+
 def _is_ipv6(text: str) -> bool:
     """Whether it is an address with five hexadecimal digits at least (not ::1)."""
     try:
@@ -147,6 +154,10 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     spans = []
     for m in FIND.finditer(text) if HINT.search(text) else ():
         kind = next(k for k in PATTERNS if m.group(f"is_{k}") is not None)
+        if kind == "card" and not _is_card(m.group()):  # a plain number, or a long phone number
+            kind, m = "phone", PHONE.match(text, m.start())
+            if m is None:
+                continue
         group = 0 if kind != "secret" else kind if m[kind] is not None else "quoted"
         if kind == "phone" and not 9 <= sum(c.isdecimal() for c in m.group()) <= 15:
             continue
@@ -436,7 +447,7 @@ def _passed_on(left: DataFrame, settled: list[DataFrame]) -> DataFrame:
 def replace_private(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with surrogates for personal data in text, and n_entities behind; columns otherwise as given.
 
-    Found are e-mail addresses, phone and card numbers, IBANs, social security numbers, IP addresses, access keys,
+    Found are e-mail addresses, phone numbers, card numbers (with their check sum), IBANs, social security numbers, IP addresses, access keys,
     passwords and tokens, private keys, and names after a form of address, which tells the gender, with all other mentions
     of these names in the same text. An entity has the same surrogate wherever it stands, in all spellings that differ by
     separators or (in e-mail) case; two entities never share one. Of persons each name is an entity, so that

@@ -279,7 +279,8 @@ def test_pii(spark, docs, rows, empty):
         assert got[i].n_entities == len(pii.detect(t))
         assert got[i].n_entities or got[i].text == t
     assert "555-3456" not in got[19].text and "Ann.Lee" not in got[19].text and "Meier" not in got[20].text
-    texts = [f"call +1 ({200 + i}) 555-{1000 + i} or a{i}@x.example.com; pay 4{i:015d}; from 10.0.{i % 256}.{i // 256}" for i in range(600)]
+    card = lambda i: next(n for n in (f"4{i:014d}{d}" for d in range(10)) if pii.luhn(n))
+    texts = [f"call +1 ({200 + i}) 555-{1000 + i} or a{i}@x.example.com; pay {card(i)}; from 10.0.{i % 256}.{i // 256}" for i in range(600)]
     more = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string")
     new = {r.doc_id: r.text for r in pii.private_texts(more, key).collect()}
     assert all(new[i] == new[i + 600] for i in range(600))
@@ -305,8 +306,9 @@ def test_pii_ordinary_forms_of_secrets_and_numbers(spark):
     assert out[len(secrets + phones)].lower() == str(ipaddress.IPv6Address(out[len(secrets + phones) + 1].lower()))
     for phone in ("212-555-3456", "+1 (212) 555-3456", "+33 1 23 45 67 89", "01 23 45 67 89", "612 34 56 78"):
         assert [(k, e) for _, e, k, _ in pii.detect(f"{phone} 10 people")] == [("phone", len(phone))], phone
-    for plain in ("password: ********", "at 10:20:30 or 1:2", "std::cout a::b ::1", "in 2019 and 2020, 1 234 567", "12 34 56 78", "tokenised = yes", "the key: something"):
+    for plain in ("password: ********", "at 10:20:30 or 1:2", "std::cout a::b ::1", "in 2019 and 2020, 1 234 567", "12 34 56 78", "tokenised = yes", "the key: something", "number 4111111111111112 is no card", "nor 9807915762804490"):
         assert pii.detect(plain) == [], plain
+    assert [k for _, _, k, _ in pii.detect("4111 1111 1111 1111 and 0049 30 12345678")] == ["card", "phone"]
 
 
 def test_pii_names_are_found_whole_and_stay_coherent(spark):
