@@ -14,6 +14,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from basalt.llm import bpe, lines, minhash, mixing, pii, quality, queries, search, sharding, urls
 
@@ -64,6 +65,27 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge_urls(pages, urls.rule_table(spark, queries.RULES).limit(0)).collect()} == {"allow"}
 
 
+def test_urls_with_colliding_prefixes_and_many_shapes(spark, monkeypatch):
+    """Prefixes of one digit meet by the dozen; only full digests count. 600 rules of 150 shapes; null rows by the hundred keep their number."""
+    monkeypatch.setattr(urls, "PREFIX", 1)
+    rnd = random.Random(2)
+    label = lambda: rnd.choice(["a", "b", "c", "dd", "com"])
+    rules = {(".".join(label() for _ in range(rnd.randrange(1, 6))), "/" + "".join(rnd.choice("xy/") for _ in range(rnd.randrange(30)))): rnd.choice(["allow", "block"]) for _ in range(600)}
+    pages = [(i, f"http://{'.'.join(label() for _ in range(rnd.randrange(1, 8)))}/{''.join(rnd.choice('xy/') for _ in range(rnd.randrange(40)))}") for i in range(2000)] + [(None, None)] * 300
+    out = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string").repartition(5), urls.rule_table(spark, [(v, h + p) for (h, p), v in rules.items()]))
+
+    def judged(url):
+        host, path = url[7:].split("/", 1) if url else ("", "")
+        fits = [(len(h + p), h + p, v) for (h, p), v in rules.items() if url and (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        best = max(len(r) for _, r, _ in fits) if fits else 0
+        return {(r, v) for _, r, v in fits if len(r) == best} or {(None, "allow")}
+
+    got = out.collect()
+    assert Counter(r.page_id for r in got) == Counter(i for i, _ in pages)
+    url_of = dict(pages)
+    assert all((r.rule, r.verdict) in judged(url_of[r.page_id]) for r in got)
+
+
 def components(rows, width, least=80):
     sets = {}
     for i, t, *_ in rows:
@@ -161,6 +183,37 @@ def test_mixing_comes_near_targets(spark):
         assert abs(sum(r.taken for r in own) - target) <= max(0.03 * target, 2 * max(r.size for r in own))
 
 
+def test_mixing_targets_of_many_sources(spark):
+    """The water level by aggregation: as sharing the excess anew until none is above."""
+    rnd = random.Random(6)
+    sizes = {f"s{i:04d}": int(rnd.paretovariate(0.7)) for i in range(700)} | {None: 50, "": 3, "zero": 0}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(table, mixing.Scratch(spark)).collect()}
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    want, full = {}, set()
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in full)
+        level = left / sum(w for s, w in weight.items() if s not in full)
+        more = {s for s in sizes if s not in full and weight[s] * level >= 2 * sizes[s]}
+        if not more:
+            break
+        full |= more
+    want = {s: 2.0 * sizes[s] if s in full else weight[s] * level for s in sizes}
+    assert 0 < len(full) < len(sizes) and got == pytest.approx(want)
+
+
+def test_mixing_parts_are_small(spark, monkeypatch):
+    """3,000 rows without doc_id beside as many others: no running count goes over many more rows than a part has."""
+    rows = [(None if i % 2 else i, f"text {i}", "one") for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_plan(table).collect()
+    assert len(got) == 6000 and abs(sum(r.taken for r in got) - got[0].target) <= 4
+    keyed = mixing._keyed(table.withColumn("size", F.lit(2).cast("long")), 7)
+    parts = keyed.groupBy(F.expr(f"floor(cast(conv(substring(key, 1, 8), 16, 10) as bigint) * {6000 // mixing.PART_ROWS} / 4294967296)")).count()
+    assert parts.agg(F.max("count")).first()[0] < 2 * mixing.PART_ROWS
+
+
 def kept_lines(rows):
     """Documents are told apart by doc_id; rows without one hold nothing."""
     keys = [[(line, line.encode().strip().lower()) for line in (t or "").split("\n")] for _, t, *_ in rows]
