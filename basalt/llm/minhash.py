@@ -282,6 +282,8 @@ def _linked(texts: DataFrame, sketch: DataFrame, width: int, least: int, scratch
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that are links. Followers of a class are dealt into groups, each of which gets its text once."""
+        if pairs.isEmpty():
+            return pairs
         many = small(scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("b") / FOLLOWERS).alias("groups"))))
         dealt = scratch.keep(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group")))
         firsts = dealt.select("a", "group").distinct().select("a", "group", F.lit(None).cast("long").alias("b"), F.col("a").alias("of"))
@@ -304,7 +306,12 @@ def _linked(texts: DataFrame, sketch: DataFrame, width: int, least: int, scratch
         return rows
 
     def extended(links: DataFrame) -> DataFrame:
-        return components(found.toDF("a", "b").union(links), scratch)
+        """The components so far, joined by links: only the graph of components is gone over anew."""
+        if links.isEmpty():
+            return found
+        new = components(labelled(links, "a", "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")), scratch)
+        into = small(new.toDF("component", "into"))
+        return scratch.keep(found.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component")).union(new))
 
     more = labelled(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), "a", "b").filter("a_of <> b_of")
     found = extended(confirmed(scratch.keep(more.select("a", "b"))))
