@@ -245,11 +245,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
         lower = scratch.keep(edges.groupBy("a").agg(F.min("b").alias("m")))  # of nodes with a smaller neighbour
-        up = edges.select(F.col("b").alias("hub"), "a").join(small(lower.withColumnRenamed("a", "hub")), "hub", "left")
-        large = scratch.keep(up.select("a", F.coalesce("m", "hub").alias("b")).distinct())
-        least = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")))
-        met = large.join(small(least), "a")
-        last = [edges, lower, large, least]
+        up = edges.select(F.col("b").alias("hub"), "a").join(lower.withColumnRenamed("a", "hub"), "hub", "left")
+        large = up.select("a", F.coalesce("m", "hub").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        met = large.join(least, "a")
+        last = [edges, lower]
         edges = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -284,7 +284,7 @@ def _linked(texts: DataFrame, sketch: DataFrame, width: int, least: int, scratch
         """The pairs that are links. Followers of a class are dealt into groups, each of which gets its text once."""
         if pairs.isEmpty():
             return pairs
-        many = small(scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("b") / FOLLOWERS).alias("groups"))))
+        many = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("b") / FOLLOWERS).alias("groups")))
         dealt = scratch.keep(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group")))
         firsts = dealt.select("a", "group").distinct().select("a", "group", F.lit(None).cast("long").alias("b"), F.col("a").alias("of"))
         wanted = small(scratch.keep(firsts.union(dealt.select("a", "group", "b", F.col("b").alias("of")))))
