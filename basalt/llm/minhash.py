@@ -231,26 +231,23 @@ def only(a: Column, b: Column) -> Column:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for each node that is not the least of its component; edges: (a, b).
 
-    Large-star and small-star steps in turn, until nothing changes; each
+    Large-star and small-star steps in turn, until all that is left are stars: each node has one
+    smaller neighbour, which has none. Each step
     groups by node with map-side minima. A large star that is its own minimum, as a hub mostly is, stays as it is:
     only edges of nodes with a smaller neighbour change, by a join with the written table of these.
     """
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before, last = None, []
+    edges = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        edges = scratch.keep(edges)
-        scratch.drop(*last)
-        now = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(20, 0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
         lower = scratch.keep(edges.groupBy("a").agg(F.min("b").alias("m")))  # of nodes with a smaller neighbour
-        up = edges.select(F.col("b").alias("hub"), "a").join(lower.withColumnRenamed("a", "hub"), "hub", "left")
-        large = up.select("a", F.coalesce("m", "hub").alias("b")).distinct()
+        up = edges.join(lower.select(F.col("a").alias("b"), F.col("m").alias("m_b")), "b", "left")
+        if up.join(lower, "a").filter("b <> m OR m_b IS NOT NULL").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        large = up.select("a", F.coalesce("m_b", "b").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(least, "a")
-        last = [edges, lower]
-        edges = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        before = edges, lower
+        edges = scratch.keep(met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
+        scratch.drop(*before)
 
 
 def _sketches(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:

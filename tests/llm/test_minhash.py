@@ -47,3 +47,21 @@ def test_one_leader_of_many_followers(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.filter("doc_id <= 3000").select(F.count_distinct("component_id"), F.min("component_id"), F.count("doc_id")).first() == (1, 0, 3001)
     assert got.filter("doc_id >= 5000 AND NOT kept").count() == 0
+
+
+def test_components_against_union_find(spark):
+    rnd = random.Random(1)
+    for n, m, chain in ((1, 0, 0), (1, 1, 0), (40, 30, 0), (200, 150, 60), (300, 1000, 10)):
+        edges = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)] + [(1000 + i, 1001 + i) for i in range(chain)]
+        parent = {x: x for edge in edges for x in edge}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        got = minhash.components(spark.createDataFrame(edges, "a long, b long"), minhash.Scratch(spark))
+        assert dict(map(tuple, got.collect())) == {x: root(x) for x in parent if root(x) != x}
