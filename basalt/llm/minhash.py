@@ -265,7 +265,8 @@ def _linked(texts: DataFrame, sketch: DataFrame, width: int, least: int, scratch
 
     members = classes.select("node", F.explode("buckets").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("node").alias("many")).filter("many > 1").drop("many")
-    members = scratch.keep(members.join(scratch.keep(leaders), "bucket"))
+    leaders = scratch.keep(leaders)
+    members = scratch.keep(members.join(leaders, "bucket"))
 
     deviation = (MINIMA ** -0.5) * ((p := least / 100 + (1 - least / 100) * 2.0**-BITS) * (1 - p)) ** 0.5 / (1 - 2.0**-BITS)
     about = lambda side: classes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("signature").alias(f"{side}_s"), F.col("map").alias(f"{side}_m"))
@@ -284,10 +285,12 @@ def _linked(texts: DataFrame, sketch: DataFrame, width: int, least: int, scratch
         many = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("b") / FOLLOWERS).alias("groups")))
         dealt = scratch.keep(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group")))
         firsts = dealt.select("a", "group").distinct().select("a", "group", F.lit(None).cast("long").alias("b"), F.col("a").alias("of"))
-        wanted = small(scratch.keep(firsts.union(dealt.select("a", "group", "b", F.col("b").alias("of")))))
-        rows = texts.join(wanted, texts["doc_id"] == wanted["of"]).select("a", "group", "b", "text")
+        wanted = scratch.keep(firsts.union(dealt.select("a", "group", "b", F.col("b").alias("of"))))
+        rows = texts.join(small(wanted), texts["doc_id"] == wanted["of"]).select("a", "group", "b", "text")
         rows = rows.repartition("a", "group").sortWithinPartitions("a", "group", F.col("b").asc_nulls_first())
-        return scratch.keep(rows.select("a", "b", "text").mapInArrow(_confirm(least, width), "a long, b long"))
+        out = scratch.keep(rows.select("a", "b", "text").mapInArrow(_confirm(least, width), "a long, b long"))
+        scratch.drop(many, dealt, wanted)
+        return out
 
     first = scratch.keep(stars.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")))
     links = confirmed(first)
@@ -311,13 +314,15 @@ def _linked(texts: DataFrame, sketch: DataFrame, width: int, least: int, scratch
         return scratch.keep(found.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component")).union(new))
 
     more = labelled(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), "a", "b").filter("a_of <> b_of")
-    found = extended(confirmed(scratch.keep(more.select("a", "b"))))
+    more = scratch.keep(more.select("a", "b"))
+    found = extended(confirmed(more))
+    scratch.drop(more, leaders)
 
     placed = scratch.keep(labelled(members.select("bucket", F.col("node").alias("a")), "a"))
     counted = placed.groupBy("bucket", "a_of").agg(F.count("a").alias("n"))
     split = counted.groupBy("bucket").agg(F.count("n").alias("parts"), F.max_by("a_of", F.struct("n", "a_of")).alias("main"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("minors")).filter("parts > 1").drop("parts")
-    placed = placed.join(small(scratch.keep(split)), "bucket")
-    known = scratch.keep(placed.join(about("a"), "a").select("bucket", "main", "total", "minors", "a_of", F.struct(F.col("a").alias("node"), F.col("a_of").alias("of"), F.col("a_n").alias("n"), F.col("a_s").alias("s"), F.col("a_m").alias("m")).alias("x")))
+    split = scratch.keep(split)
+    known = scratch.keep(placed.join(small(split), "bucket").join(about("a"), "a").select("bucket", "main", "total", "minors", "a_of", F.struct(F.col("a").alias("node"), F.col("a_of").alias("of"), F.col("a_n").alias("n"), F.col("a_s").alias("s"), F.col("a_m").alias("m")).alias("x")))
 
     def blocks(rows: DataFrame, name: str, size: str) -> DataFrame:  # of at most some BLOCK classes
         block = F.pmod(F.xxhash64("x.node"), F.ceil(F.col(size) / BLOCK)).alias("block")
@@ -330,6 +335,7 @@ def _linked(texts: DataFrame, sketch: DataFrame, width: int, least: int, scratch
     rest = met.select("main", "minor", "others").mapInArrow(_compared(least, least / 100 - SLACK * deviation), "a long, b long")
     rest = scratch.keep(rest.distinct().join(stars, ["a", "b"], "left_anti"))
     found = extended(confirmed(rest))
+    scratch.drop(members, stars, first, placed, split, known, rest)
 
     nodes = full.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "node"), "digest").join(found, "node", "left")
     linked = nodes.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
