@@ -64,6 +64,10 @@ class Scratch:
         self.kept += 1
         return os.path.join(self.root, str(self.kept))
 
+    def clear(self) -> None:
+        """Delete all tables kept so far."""
+        self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.root), True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for table in tables:
