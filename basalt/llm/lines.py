@@ -86,9 +86,10 @@ def _with_drops(rows: DataFrame, scratch: Scratch, least: int, documents: int) -
     # Documents are told apart before lines are counted. The first grouping spreads a hot line by its owners, the second combines it map-side.
     held = lines.filter("owner IS NOT NULL").groupBy("line", "owner").agg(F.lit(1).alias("one"))
     shared = held.groupBy("line").agg(F.count("one").alias("n"), F.max("owner").alias("holder")).filter(F.col("n") >= documents)
-    shared = small(scratch.keep(shared.select("line", "holder")))
-    dropped = lines.join(shared, "line").filter(~F.col("owner").eqNullSafe(F.col("holder")))
+    shared = scratch.keep(shared.select("line", "holder"))
+    dropped = lines.join(small(shared), "line").filter(~F.col("owner").eqNullSafe(F.col("holder")))
     dropped = scratch.keep(dropped.groupBy("owner", "tie").agg(F.collect_set("line").alias("drop")))  # of the lines of one text
+    scratch.drop(lines, shared)
     def met(part, how):
         return part.join(dropped.hint("shuffle_hash"), part["doc_id"].eqNullSafe(dropped["owner"]) & (part["tie"] == dropped["tie"]), how).select(*columns, "drop")
 

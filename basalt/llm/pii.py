@@ -469,10 +469,15 @@ def replace_private(docs: DataFrame, key: bytes) -> DataFrame:
     spans = found.filter("n_spans > 0").select("row", F.inline("spans"))
     # A given name whose gender is told elsewhere only has that.
     told = spans.filter("kind IN ('person_f', 'person_m')").groupBy("value").agg(F.min("kind").alias("told")).withColumn("kind", F.lit("person_x"))
-    spans = scratch.keep(spans.join(small(scratch.keep(told)), ["kind", "value"], "left").withColumn("kind", F.coalesce("told", "kind")).drop("told"))
+    told = scratch.keep(told)
+    spans = scratch.keep(spans.join(small(told), ["kind", "value"], "left").withColumn("kind", F.coalesce("told", "kind")).drop("told"))
+    scratch.drop(told)
     entities = scratch.keep(spans.select("kind", "value").distinct())
     initials = entities.filter("kind = 'initial'").mapInArrow(_invented(key, 0), DRAWN)
-    drawn = small(scratch.keep(surrogates(entities.filter("kind <> 'initial'"), key, scratch).union(initials)))
+    own = Scratch(docs.sparkSession)
+    drawn = scratch.keep(surrogates(entities.filter("kind <> 'initial'"), key, own).union(initials))
+    own.clear()
+    drawn = small(drawn)
     told = spans.join(drawn, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "surrogate")).alias("found"))
     held = found.filter("n_spans > 0").join(told, "row").withColumn("n_entities", F.col("n_spans")).select(*columns, "n_entities", "found")
     changed = held.mapInArrow(_replaced, held.drop("found").schema)
